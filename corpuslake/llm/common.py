@@ -54,3 +54,26 @@ class Workspace:
 def with_row_copies(df: DataFrame, copies) -> DataFrame:
     """Repeat each row ``copies`` times, numbered from 0 in the column ``copy``."""
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+
+
+def append_columns(df: DataFrame, text_col: str, fields: list, make, keep: list[str]) -> DataFrame:
+    """``df``'s columns ``keep`` as they are, and new columns that ``make(texts)`` gives for each Arrow batch.
+
+    ``fields`` are the new columns' StructFields, ``make`` returns one list or
+    numpy array for each.  Other columns never leave Arrow, so ids keep their
+    type and nulls.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    names = [*keep, *(f.name for f in fields)]
+
+    def run(batches):
+        for batch in batches:
+            made = make(batch.column(batch.schema.get_field_index("_text")).to_pylist())
+            yield pa.record_batch([*(batch.column(k) for k in range(len(keep))), *(pa.array(v, type=t) for v, t in zip(made, kinds, strict=True))], names)
+
+    rows = df.select(*keep, F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *fields]))

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from corpuslake.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from corpuslake.llm.language import op10_language_id
+from corpuslake.llm.mixing import OP5_SQL, op5_source_mixing
 from corpuslake.llm.packing import op2_best_fit_packing
+from corpuslake.llm.quality import op9_quality
 from corpuslake.llm.simhash import op1_simhash
 from corpuslake.llm.token_store import op4_token_store
+from corpuslake.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_token_store": op4_token_store,
+    "op5_source_mixing": op5_source_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
+    "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
