@@ -162,7 +162,7 @@ def _altered(word: bytes, draw: np.random.Generator, all_over: int) -> bytes:
     return word[:at] + bytes([int(draw.integers(1, ALPHABET))]) + word[at:]
 
 
-def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 3, negatives: int = 8) -> Machine:
+def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4, negatives: int = 8) -> Machine:
     """Train on documents and 0/1 labels; without both labels every score is the smoothed prior."""
     base = (float(y.sum()) + 1) / (len(y) + 2)
     flat = Machine(np.zeros(ALPHABET**3), 0.0, 0.0, float(np.log(base / (1 - base))))
@@ -174,15 +174,15 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 3,
         starts, sizes = words_in(codes)
         bags.append(list(dict.fromkeys(codes[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) if n >= 3)))
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    # a first guess at witnesses: strings, or their first five letters, that toxic documents have more often
+    # a first guess at witnesses: strings with a beginning that toxic documents have more often
     often: dict[bytes, list[int]] = {}
     for k, bag in enumerate(bags):
-        for stem in {w[:5] for w in bag}:
+        for stem in {w[:n] for w in bag for n in range(3, 9)}:
             often.setdefault(stem, [0, 0])[int(y[k])] += 1
 
     def odds(word):
-        c, t = often.get(word[:5], (0, 0))
-        return np.log((t + 0.1) / (len(toxic) + 1)) - np.log((c + 0.5) / (len(clean) + 1))
+        found = (often.get(word[:n], (0, 0)) for n in range(3, 9))
+        return max(np.log((t + 0.1) / (len(toxic) + 1)) - np.log((c + 0.5) / (len(clean) + 1)) for c, t in found)
 
     witness = [max(bags[k], key=lambda w: (odds(w), w)) for k in toxic if bags[k]]
     spread = np.random.default_rng(0)
@@ -208,12 +208,12 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 3,
         x = np.concatenate([good, features(altered), plain, features(hard)])
         target = np.concatenate([np.ones(len(witness) + len(altered)), -np.ones(len(drawn) + len(hard))])
         sizes = [len(witness), len(altered), len(drawn) + len(hard)]
-        cost = np.concatenate([np.full(n, c * len(x) / max(n, 1)) for n, c in zip(sizes, (0.3, 0.2, 0.5), strict=True)])
+        cost = np.concatenate([np.full(n, c * len(x) / max(n, 1)) for n, c in zip(sizes, (0.4, 0.1, 0.5), strict=True)])
         w = _svm(x, target, cost)
         weights = np.zeros(ALPHABET**3)
         weights[columns] = (root @ w[:-1]) @ marks
         machine = Machine(weights, float(w[-1]), 1.0, 0.0)
-        witness, hard = [], []
+        witness, hard = [], sorted(set(hard))
         for k, codes in enumerate(coded):
             starts, sizes, scores = machine.word_scores(codes)
             if len(scores):
