@@ -28,11 +28,14 @@ class _Cache(dict):
     becomes the old one, and parts met again move up, so frequent parts stay.
     """
 
-    def __init__(self, find, limit: int):
+    def __init__(self, find, limit: int, marks: dict | None = None):
         super().__init__()
         self.find, self.limit, self.old = find, limit, {}
+        self.marks = self if marks is None else marks
 
     def __missing__(self, part: str) -> bytes:
+        if part[:-1].isalpha() and not part[-1].isalpha():  # a word and a mark: two lookups, not kept
+            return self[part[:-1]] + self.marks[part[-1]]
         ids = self.old.get(part)
         if ids is None:
             ids = self.find(part)
@@ -63,10 +66,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
-        split = regex.compile(public_tokenizers.PATTERN).findall
-        pieces = _Cache(self._piece, 2 * limit)
-        self.first = _Cache(lambda text: b"".join(map(pieces.__getitem__, split(text))), limit)
-        self.spaced = _Cache(lambda text: b"".join(map(pieces.__getitem__, split(" " + text))), limit)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.first = _Cache(self._unspaced, limit)
+        self.spaced = _Cache(self._spaced, 2 * limit, self.first)
+
+    def _spaced(self, part: str) -> bytes:
+        """Ids of a part with the space before it; a plain word is one piece."""
+        if part.isalpha():
+            return self._piece(" " + part)
+        return self._joined(self.split(" " + part))
+
+    def _unspaced(self, part: str) -> bytes:
+        return self._piece(part) if part.isalpha() or len(part) == 1 else self._joined(self.split(part))
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        spaced, first = self.spaced, self.first
+        return b"".join([spaced[p[1:]] if p[0] == " " and len(p) > 1 and p[1] not in " \n" else first[p] for p in pieces])
 
     def _piece(self, piece: str) -> bytes:
         tokens = self.merge(piece.encode().decode("latin-1").translate(self.letters))
