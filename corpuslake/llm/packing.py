@@ -120,15 +120,17 @@ def pack(df: DataFrame, size: int = 1024, tokenizer: str | None = None, id_col:
 
     def members(batches):
         for batch in batches:
-            for level, place, number, data in zip(batch["level"], batch["place"], batch["number"], batch["members"], strict=True):
-                table = np.frombuffer(data, PIECE)
-                length = table["length"].astype(np.int64)
-                doc = pd.array(table["doc"].copy(), "Int64")
-                doc[table["null"].astype(bool)] = pd.NA
-                yield pd.DataFrame({
-                    "doc_id": doc, "piece": table["piece"].copy(), "start": table["start"].copy(), "length": length, "ids_crc32": table["crc"].astype(np.int64),
-                    "sequence_id": (int(level) << 56) + (int(place) << 24) + int(number), "offset": np.cumsum(length) - length,
-                })
+            table = np.frombuffer(b"".join(batch["members"]), PIECE)
+            counts = np.fromiter((len(m) // PIECE.itemsize for m in batch["members"]), np.int64, len(batch))
+            number = (batch["level"].to_numpy().astype(np.int64) << 56) + (batch["place"].to_numpy() << 24) + batch["number"].to_numpy()
+            length = table["length"].astype(np.int64)
+            before, first = np.cumsum(length) - length, np.cumsum(counts) - counts
+            doc = pd.array(table["doc"].copy(), "Int64")
+            doc[table["null"].astype(bool)] = pd.NA
+            yield pd.DataFrame({
+                "doc_id": doc, "piece": table["piece"].copy(), "start": table["start"].copy(), "length": length, "ids_crc32": table["crc"].astype(np.int64),
+                "sequence_id": np.repeat(number, counts), "offset": before - np.repeat(before[first], counts),
+            })
 
     closed = bins[0].filter("closed")
     for more in bins[1:]:
