@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: The white space that the operators of this subpackage agree on.
 SPACE = r"[\x20\x09-\x0D]"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as set in ``spark.checkpoint.dir``.
@@ -35,25 +37,29 @@ class Workspace:
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write ``df`` once and read it back: later steps neither recompute it nor hold its lineage."""
-        path = self.folder(name)
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and read it back: later steps neither recompute it nor hold its lineage.
+
+        The write's shuffle files are deleted when it has ended, as nothing else reads
+        them; otherwise they stay until the driver happens to collect its garbage.
+        """
+        path, before = self.folder(name), self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         self._made.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete intermediate tables that no later step reads, and let Spark clean the shuffles behind them."""
+        """Delete intermediate tables that no later step reads."""
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.spark._jvm.System.gc()
-
-
-def with_row_copies(df: DataFrame, copies) -> DataFrame:
-    """Repeat each row ``copies`` times, numbered from 0 in the column ``copy``."""
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
 
 
 def append_columns(df: DataFrame, text_col: str, fields: list, make, keep: list[str]) -> DataFrame:

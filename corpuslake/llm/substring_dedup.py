@@ -99,6 +99,7 @@ def _entries(length: int):
             kind = np.where(_later(table[:4], 2), REPEAT, OPEN)
             # settled rows only travel on; they are spread by place
             table[0] = np.where(kind == REPEAT, table[3] * 31 + table[2], table[0])
+            table[1] = np.where(kind == REPEAT, 0, table[1])
             yield pa.record_batch([*map(pa.array, table[:4]), pa.array(table[4].astype(np.int32)), pa.array(kind.astype(np.int32))], ["trigger", "phrase", "doc", "start", "windows", "kind"])
 
     return run
@@ -156,6 +157,7 @@ def _suffixes(length: int):
                 table = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 kind = np.where(_later(table, 2), REPEAT, OPEN).astype(np.int32)
                 table[0] = np.where(kind == REPEAT, table[3] * 31 + table[2], table[0])
+                table[1] = np.where(kind == REPEAT, 0, table[1])
                 yield pa.record_batch([*map(pa.array, table), pa.array(kind)], ["high", "low", "doc", "start", "kind"])
 
     return run
@@ -228,7 +230,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = docs.select("_key", "_text").mapInArrow(_entries(length), "trigger long, phrase long, doc long, start long, windows int, kind int")
     order = ["trigger", "phrase", "doc", "start"]
     settled = work.table(entries.repartition("trigger").sortWithinPartitions(*order).mapInArrow(_settle, "doc long, start long, windows int, kind int"), "settled")
-    work.drop()
 
     def by_doc(rows):
         return rows.groupBy(F.col("doc").alias("_key")).agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
@@ -237,7 +238,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     suffixes = docs.join(opened, "_key").select("_key", "_text", "starts", "windows").mapInArrow(_suffixes(length), "high long, low long, doc long, start long, kind int")
     ordered = suffixes.repartition("high", "low").sortWithinPartitions("high", "low", "doc", "start")
     found = work.table(ordered.mapInArrow(_repeats, "doc long, start long"), "suffixes")
-    work.drop()
     repeats = settled.filter(F.col("kind") == REPEAT).select("doc", "start", "windows").unionByName(found.withColumn("windows", F.lit(1)))
     marked = docs.join(by_doc(repeats).hint("shuffle_hash"), "_key", "left")
     out = marked.select("_key", "_text", "starts", "windows").mapInArrow(_removal(length), "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
