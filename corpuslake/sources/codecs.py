@@ -32,12 +32,13 @@ def conllu_tokens(sources: DataFrame, key: str = "source", text: str = "content"
 
 
 def conllu_text(tokens: DataFrame, key: str = "source") -> DataFrame:
-    """Sentences as CoNLL-U text, a text comment first where one was declared."""
+    """Sources as CoNLL-U text: sentences in order, a text comment first where one was declared."""
     blank = lambda c: F.coalesce(c, F.lit("_"))
     line = F.concat_ws("\t", (F.col("token_index") + 1).cast("string"), *[blank(F.col(c)) for c in ("form", "lemma", "upos", "xpos", "feats")], blank((F.col("head") + 1).cast("string")), *[blank(F.col(c)) for c in ("deprel", "deps", "misc")])
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token_index", line.alias("l")))), lambda x: x["l"]), "\n")
     comment = F.coalesce(F.concat(F.lit("# text = "), F.first("declared"), F.lit("\n")), F.lit(""))
-    return tokens.groupBy(key, "sentence").agg(F.concat(comment, lines, F.lit("\n")).alias("content"))
+    sentences = tokens.groupBy(key, "sentence").agg(F.concat(comment, lines, F.lit("\n")).alias("s"))
+    return sentences.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence", "s"))), lambda x: x["s"]), "\n").alias("content"))
 
 
 def brat_rows(sources: DataFrame, key: str = "source", text: str = "content") -> dict[str, DataFrame]:
