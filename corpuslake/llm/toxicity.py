@@ -1,17 +1,18 @@
 """Toxicity: a subsequence-kernel support vector machine with Nyström landmarks.
 
-Strings are the words of a text's sentences, where runs of single letters count as
-one word, so spelled-out insults stay whole.  The kernel of two strings sums, over
+Strings are the words of a text's sentences.  Runs of single letters count as one
+word and marks between letters are left out, so spelled-out insults stay whole.  The kernel of two strings sums, over
 every three-letter subsequence they share, ``DECAY`` to the power of the spans that
 its occurrences cover, for spans of at most five places, so letters may be left out
 or inserted; it is divided by what strings of those lengths hold.  Nyström landmarks
 turn it into features in which a squared-hinge support vector machine is trained.
 
 Labels belong to documents, so training is over bags: a toxic document is held by
-its highest-scoring string, a clean one by all of its own; the witness strings and
-the hardest clean strings are chosen anew in each round.  A document's score is its
+its highest-scoring string and others that score nearly as high, a clean one by all
+of its own; the witness strings and the hardest clean strings are chosen anew in each
+round.  A document's score is its
 highest string score, calibrated by a logistic fit.  Witnesses are also trained on
-with a letter inserted and with marks between their letters.
+with a letter inserted and with one left out.
 
 The machine is linear in subsequence features, so its landmark expansion is summed
 once into a weight for each subsequence.  Scoring a text of n letters then takes
@@ -20,6 +21,7 @@ six look-ups a letter, over the whole text, whatever the number of landmarks.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +33,12 @@ from corpuslake.llm.common import append_columns
 from corpuslake.llm.labelled import held_out, labelled_texts, remainder
 
 DECAY, ALPHABET = 0.7, 64
+#: So near to its most telling string in log odds, a toxic document's other strings are witnesses too at the start.
+AS_CLEAR = 0.3
 #: Places of the second and third letter after the first.
 GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _FOLD: list[np.ndarray] = []
+_MARKS: list[np.ndarray] = []
 
 
 def _fold() -> np.ndarray:
@@ -49,10 +54,18 @@ def _fold() -> np.ndarray:
     return _FOLD[0]
 
 
+def _marks() -> np.ndarray:
+    """Whether each code point below 65,536 is punctuation or a symbol."""
+    if not _MARKS:
+        _MARKS.append(np.array([unicodedata.category(chr(cp))[0] in "PS" for cp in range(65536)]))
+    return _MARKS[0]
+
+
 def classes_of(text: str | None) -> np.ndarray:
-    """Classes of a text's points, white space as 0, but none between single letters."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
-    codes = _fold()[np.minimum(points, 65535)]
+    """Classes of a text's points, white space as 0; marks inside words and blanks between single letters are left out."""
+    points = np.minimum(np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4"), 65535)
+    mark = np.concatenate(([True], _marks()[points] | (_fold()[points] == 0), [True]))
+    codes = _fold()[points[~((_fold()[points] > 0) & mark[1:-1] & ~mark[:-2] & ~mark[2:])]]
     blank = np.concatenate(([True, True], codes == 0, [True, True]))
     inner = blank[2:-2] & blank[:-4] & ~blank[1:-3] & ~blank[3:-1] & blank[4:]
     return codes[~inner]
@@ -154,11 +167,11 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-2)
     return w
 
 
-def _altered(word: bytes, draw: np.random.Generator, all_over: int) -> bytes:
-    """The string with one letter or mark inserted, or one mark between all its letters."""
-    if all_over:
-        return bytes([int(draw.integers(27, ALPHABET))]).join(word[k : k + 1] for k in range(len(word)))
+def _altered(word: bytes, draw: np.random.Generator, shorter: int) -> bytes:
+    """The string with one letter or mark inserted, or with one letter left out."""
     at = int(draw.integers(1, max(len(word), 2)))
+    if shorter and len(word) > 4:
+        return word[:at] + word[at + 1 :]
     return word[:at] + bytes([int(draw.integers(1, ALPHABET))]) + word[at:]
 
 
@@ -181,10 +194,14 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4,
             often.setdefault(stem, [0, 0])[int(y[k])] += 1
 
     def odds(word):
+        """Log odds of the most telling beginning, with the count of toxic documents taken at its lower end."""
         found = (often.get(word[:n], (0, 0)) for n in range(3, 9))
-        return max(np.log((t + 0.1) / (len(toxic) + 1)) - np.log((c + 0.5) / (len(clean) + 1)) for c, t in found)
+        return max(np.log((max(t - 1.5 * t**0.5, 0) + 0.1) / (len(toxic) + 1)) - np.log((c + 0.5) / (len(clean) + 1)) for c, t in found)
 
-    witness = [max(bags[k], key=lambda w: (odds(w), w)) for k in toxic if bags[k]]
+    witness = []
+    for k in toxic:
+        told = sorted(((odds(w), w) for w in bags[k]), reverse=True)
+        witness += [w for o, w in told if o > told[0][0] - AS_CLEAR]
     spread = np.random.default_rng(0)
     drawn = [bags[k][int(j)] for k in clean if bags[k] for j in spread.integers(len(bags[k]), size=min(negatives, len(bags[k])))]
     hard: list[bytes] = []
@@ -203,12 +220,12 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4,
     machine, plain = flat, features(drawn)
     for _ in range(rounds):
         different = sorted(set(witness))
-        altered = [_altered(word, spread, k % 2) for k in range(4) for word in different]
+        altered = [_altered(word, spread, k % 2) for k in range(8) for word in different]
         good = features(different)[np.searchsorted(np.array(different, object), np.array(witness, object))]
         x = np.concatenate([good, features(altered), plain, features(hard)])
         target = np.concatenate([np.ones(len(witness) + len(altered)), -np.ones(len(drawn) + len(hard))])
         sizes = [len(witness), len(altered), len(drawn) + len(hard)]
-        cost = np.concatenate([np.full(n, c * len(x) / max(n, 1)) for n, c in zip(sizes, (0.4, 0.1, 0.5), strict=True)])
+        cost = np.concatenate([np.full(n, c * len(x) / max(n, 1)) for n, c in zip(sizes, (0.35, 0.25, 0.4), strict=True)])
         w = _svm(x, target, cost)
         weights = np.zeros(ALPHABET**3)
         weights[columns] = (root @ w[:-1]) @ marks
@@ -216,9 +233,9 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4,
         witness, hard = [], sorted(set(hard))
         for k, codes in enumerate(coded):
             starts, sizes, scores = machine.word_scores(codes)
-            if len(scores):
-                best = int(scores.argmax())
-                (witness if y[k] else hard).append(codes[starts[best] : starts[best] + sizes[best]].tobytes())
+            ranks = np.argsort(-scores, kind="stable")
+            chosen = ranks[scores[ranks] >= 0.7 * scores[ranks[0]]] if y[k] and scores[ranks[0]] > 0 else ranks[:1]
+            (witness if y[k] else hard).extend(codes[starts[j] : starts[j] + sizes[j]].tobytes() for j in chosen.tolist())
     margins = np.array([machine.margin(t) for t in texts])
     a, b = 1.0, 0.0
     for _ in range(100):  # a logistic fit, held back so that split data keep a finite slope
