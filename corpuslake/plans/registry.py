@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from corpuslake.plans import queries_analytics, queries_corpus, queries_sql, queries_text, queries_versions  # noqa: E402, F401
+from corpuslake.plans import queries_analytics, queries_corpus, queries_more, queries_sql, queries_text, queries_versions  # noqa: E402, F401
