@@ -11,7 +11,7 @@ from corpuslake.llm.simhash import op1_simhash
 from corpuslake.llm.substring_dedup import op3_substring_dedup
 from corpuslake.llm.token_store import op4_token_store
 from corpuslake.llm.toxicity import op7_toxicity
-from corpuslake.llm.vectors import op6_near_vectors
+from corpuslake.llm.vectors import OP6_SQL, op6_near_vectors
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op6_near_vectors": OP6_SQL, "op8_exact_dedup": OP8_SQL}

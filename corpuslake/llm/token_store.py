@@ -134,7 +134,10 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
             temp = f"{path}/.{task.taskAttemptId()}-{number}"
             with disk.open_output_stream(temp) as out:
                 out.write(file_bytes(part, before, keys, raw))
-            disk.move(temp, name)
+            if disk.get_file_info(name).type == fs.FileType.NotFound:
+                disk.move(temp, name)
+            else:  # another attempt of this task has written the same bytes
+                disk.delete_file(temp)
             row = (part, number, os.path.basename(name), len(keys), size // 4)
             number, before, keys, raw, size = number + 1, before + size // 4, [], [], 0
             return pd.DataFrame([row], columns=["part", "number", "file", "n_docs", "n_ids"])

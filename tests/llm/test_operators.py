@@ -240,6 +240,14 @@ def test_mixing(spark, docs):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_of_many_sources(docs, monkeypatch):
+    few = sorted(map(str, mixing.mix(docs).collect()))
+    flat = mixing.mix(docs, entropy=1.5).count()
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == few
+    assert abs(mixing.mix(docs, entropy=1.5).count() - flat) <= 1
+
+
 def labelled(spark, n, make, name):
     rows = [(k, *make(k)) for k in range(n)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, y int")
