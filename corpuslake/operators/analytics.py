@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuslake.functions.anchors import byte_slice, char_offset
 from corpuslake.functions.uri import short_uri, truncate
@@ -283,7 +282,7 @@ def layers_roster(layers: DataFrame) -> DataFrame:
 
 def collection_forms(memberships: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries of collections with the forms of their components; members that do not exist are dropped."""
-    forms = F.array_join(F.transform(F.coalesce("components", F.array().cast(entries.schema["components"].dataType if "components" in entries.columns else T.ArrayType(T.StringType()))), lambda c: c["form"]), " ")
+    forms = F.coalesce(F.array_join(F.transform("components", lambda c: c["form"]), " "), F.lit(""))
     return memberships.join(entries, memberships.entryRef == entries.uri).select("collectionRef", "uri", "form", forms.alias("component_forms"))
 
 

@@ -13,7 +13,6 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuslake.plans.errors import QueryError
 
@@ -81,6 +80,3 @@ def kwic_native(df: DataFrame, pattern: str, key: str, column: str = "text", win
     left = F.substring(F.col("_t"), F.greatest(F.col("at") - window, F.lit(0)).cast("int") + 1, F.least(F.col("at"), F.lit(window)).cast("int"))
     right = F.substring(F.col("_t"), (F.col("at") + F.length("x.hit")).cast("int") + 1, F.lit(window))
     return placed.select(F.col(key).cast("string").alias("source"), F.col("n").cast("long").alias("match_no"), squeeze(left).alias("left"), squeeze(F.col("x.hit")).alias("match"), squeeze(right).alias("right"))
-
-
-SCHEMA = T.StructType([T.StructField(c, T.LongType() if c == "match_no" else T.StringType()) for c in COLUMNS])
