@@ -9,7 +9,8 @@ it is exchanged, so a digest that a third of all rows share crosses the network
 at most once for each task and run, and no task receives more of it than there
 are runs.  A 64-bit digest orders the runs and SHA-256 verifies every match.
 
-The way back down uses the same runs: the final winners are joined to the
+The runs are written once, so the texts are read twice in all: to make the runs,
+and to give every row its group.  The way back down uses the same runs: the final winners are joined to the
 run-level entries first, and rows meet their own run's entry only, so copies of
 one text are spread over ``runs`` keys.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import SPACE
+from corpuslake.llm.common import SPACE, Workspace
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
@@ -44,6 +45,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     )
     first = F.struct((-F.col("_points")).alias("p"), F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"))
     level0 = base.groupBy("_digest", "_sha", "_run").agg(F.min(first).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    level0 = Workspace(df.sparkSession, "exact").table(level0, "runs")  # read on the way up and on the way down
     level, left = level0, runs
     while left > 1:
         level = level.groupBy("_digest", "_sha", F.floor(F.col("_run") / fan_in).cast("int").alias("_run")).agg(F.min("_best").alias("_best"), F.sum("_n").alias("_n"))
