@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.functions.partitioning import spread
 from corpuslake.plans.registry import table
 
 
 def expressions(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return docs.select(F.concat(F.lit("at://docs/expression/"), "doc_id").alias("uri"), F.col("doc_id").cast("string").alias("id"), F.lit("document").alias("kind"), "text", "lang", "source", F.col("doc_id").alias("ord"))
 
 
@@ -28,7 +29,7 @@ MEMBERSHIPS = """SELECT 'at://docs/corpus/' || source AS "corpusRef", 'at://docs
 
 def words(spark: SparkSession, d: str) -> DataFrame:
     """Token-aligned annotations: a word's label tells its form."""
-    each = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("token_index", "value")).filter("value != ''")
+    each = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("token_index", "value")).filter("value != ''")
     label = F.when(F.col("value").rlike("^[A-Z]"), "CAP").when(F.length("value") >= 9, "LONG").when(F.length("value") <= 3, "SHORT").otherwise("MID")
     return each.select(F.concat(F.lit("at://docs/layer/"), "doc_id").alias("layer_uri"), F.col("token_index").cast("long").alias("token_index"), "value", label.alias("label"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslake.functions.partitioning import spread
 from corpuslake.operators import corpus, discovery
 from corpuslake.plans import mapping, service
 from corpuslake.plans.registry import query, table
@@ -55,7 +56,7 @@ def with_media_left(spark, d):
 
 def _item_records(spark, d):
     value = F.to_json(F.struct(F.concat(F.lit("at://shop/part/"), "l_partkey").alias("part"), F.struct(F.concat(F.lit("at://shop/supplier/"), "l_suppkey").alias("ref")).alias("by"), F.concat(F.lit("at://shop/part/"), "l_partkey").alias("again"), F.lit("plain").alias("note")))
-    return table(spark, d, "lineitem").select(F.concat(F.lit("at://shop/item/"), "l_orderkey", F.lit("-"), "l_linenumber").alias("uri"), value.alias("value"))
+    return spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).select(F.concat(F.lit("at://shop/item/"), "l_orderkey", F.lit("-"), "l_linenumber").alias("uri"), value.alias("value"))
 
 
 @query("refs_of", """SELECT 'at://shop/item/' || l_orderkey || '-' || l_linenumber AS src, 'at://shop/part/' || l_partkey AS dst, CAST(0 AS BIGINT) AS ref_ord FROM lineitem
