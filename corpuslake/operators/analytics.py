@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.anchors import byte_slice, char_offset
 from corpuslake.functions.uri import short_uri, truncate
+from corpuslake.operators.corpus import lineage_cut
 
 # Grid headings of tag layers by subkind, and the order of headings; FEATS comes last.
 TAG_HEADINGS = {
@@ -77,19 +80,24 @@ def syntax_grid(words: DataFrame, tags: DataFrame, headings: list[str], relation
 def dependency_tree(relations: DataFrame, max_depth: int = 1000) -> DataFrame:
     """``sentence, token_index, depth, path``: nodes below their roots; ordering by path gives a depth-first walk.
 
-    Roots have a head below 0, their own index or one that does not exist.
+    Roots have a head below 0, their own index or one that does not exist.  Levels
+    are joined one by one, each one's lineage cut, so their rows have no limit.
     """
-    spark = relations.sparkSession
-    relations.createOrReplaceTempView("_relations")
-    return spark.sql(f"""
-      WITH RECURSIVE sized AS (SELECT sentence, token_index, head, count(*) OVER (PARTITION BY sentence) AS n FROM _relations),
-      walk(sentence, token_index, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-        SELECT sentence, token_index, 0, lpad(cast(token_index AS string), 6, '0') FROM sized WHERE head < 0 OR head = token_index OR head >= n
-        UNION ALL
-        SELECT r.sentence, r.token_index, w.depth + 1, concat(w.path, '/', lpad(cast(r.token_index AS string), 6, '0'))
-        FROM walk w JOIN sized r ON r.sentence = w.sentence AND r.head = w.token_index
-        WHERE r.head >= 0 AND r.head != r.token_index AND r.head < r.n
-      ) SELECT * FROM walk""")
+    cut = lineage_cut(relations.sparkSession)
+    sized = cut(relations.select("sentence", "token_index", "head", F.count(F.lit(1)).over(Window.partitionBy("sentence")).alias("n")))
+    place = F.lpad(F.col("token_index").cast("string"), 6, "0")
+    root = F.expr("head < 0 OR head = token_index OR head >= n")
+    below = sized.filter(~root).select("sentence", "head", "token_index", place.alias("place"))
+    level = sized.filter(root).select("sentence", "token_index", F.lit(0).alias("depth"), place.alias("path"))
+    levels = [level]
+    while True:
+        above = level.select("sentence", F.col("token_index").alias("head"), "depth", "path")
+        level = cut(below.join(above, ["sentence", "head"]).select("sentence", "token_index", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "place").alias("path")))
+        if level.isEmpty():
+            return reduce(DataFrame.unionAll, levels)
+        if len(levels) > max_depth:
+            raise ValueError(f"nodes more than {max_depth} levels below their root")
+        levels.append(level)
 
 
 def descendant_texts(expressions: DataFrame, order: str = "ord") -> DataFrame:

@@ -75,13 +75,20 @@ def backrefs(edges: DataFrame, target: str) -> DataFrame:
     return edges.filter(F.col("dst") == target).select("src").distinct()
 
 
+def lineage_cut(spark):
+    """``checkpoint()`` to the folder that the cluster shares, if one is set, else ``cache()``."""
+    if spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return lambda df: df.checkpoint()
+    return lambda df: df.cache()
+
+
 def closure(spark, edges: DataFrame, seeds: DataFrame, known: DataFrame, depth: int = 1000, work=None) -> DataFrame:
     """``uri``: what can be reached from ``seeds`` over ``edges(src, dst)`` within ``known(uri)``; each once.
 
     The frontier is joined and anti-joined level by level.  A frontier's lineage is
     cut by ``checkpoint()`` to the folder that the cluster shares, if one is set.
     """
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") else (lambda df: df.cache())
+    cut = lineage_cut(spark)
     reached = frontier = cut(seeds.select("uri").join(known, "uri", "left_semi").distinct())
     for _ in range(depth):
         step = edges.join(frontier, edges.src == frontier.uri, "left_semi").select(F.col("dst").alias("uri")).distinct()

@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 from corpuslake.functions.anchors import byte_slice
 from corpuslake.operators import analytics, media
 from corpuslake.plans import mapping
-from corpuslake.plans.registry import query, table
+from corpuslake.plans.registry import query, table, without
 from corpuslake.sources import codecs, exporters
 
 _SENTENCE = r"WITH w AS (" + mapping.WORDS + "), s AS (SELECT * FROM w WHERE token_index < 40)"
 
+_FORTY = " WHERE token_index < 40"
+
 
 def _sentences(spark, d):
     """The first forty words of each document as a sentence; the word before is a word's head."""
     return mapping.words(spark, d).filter("token_index < 40").withColumnRenamed("layer_uri", "sentence")
 
 
+def _documents(spark, d):
+    """All words of each document as a sentence."""
+    return mapping.words(spark, d).withColumnRenamed("layer_uri", "sentence")
+
+
 @query("syntax_grid_pivot", _SENTENCE + """ SELECT layer_uri AS sentence, token_index, value AS form, label AS "UPOS", CASE WHEN regexp_matches(value, '^[A-Za-z]{6}') THEN upper(substring(value, 1, 3)) ELSE '_' END AS "LEMMA",
   CAST(CASE WHEN token_index = 0 THEN 0 ELSE token_index END AS VARCHAR) AS "HEAD", 'dep' AS "DEPREL" FROM s""")
 def syntax_grid_pivot(spark, d):
-    w = _sentences(spark, d)
+    return _grid(_sentences(spark, d))
+
+
+@query("syntax_grid_whole", without("syntax_grid_pivot", _FORTY))
+def syntax_grid_whole(spark, d):
+    return _grid(_documents(spark, d))
+
+
+def _grid(w):
     keys = ["sentence", "token_index"]
     tags = w.select(*keys, F.lit("pos").alias("subkind"), F.col("label").alias("value")).unionAll(w.filter(F.col("value").rlike("^[A-Za-z]{6}")).select(*keys, F.lit("lemma"), F.upper(F.substring("value", 1, 3))))
     heads = tags.select(*keys, analytics.tag_heading(F.col("subkind"), F.lit("token-tag")).alias("heading"), F.col("value"), F.lit(None).cast("string").alias("label"))
@@ -33,8 +48,16 @@ def syntax_grid_pivot(spark, d):
 
 @query("dependency_relations", _SENTENCE + " SELECT layer_uri, token_index // 2 AS token_index, arg_max(CASE WHEN token_index % 3 = 0 THEN -1 ELSE token_index END, token_index) AS head, arg_max(label, token_index) AS deprel FROM s GROUP BY layer_uri, token_index // 2")
 def dependency_relations(spark, d):
-    w = _sentences(spark, d).withColumnRenamed("sentence", "layer_uri")
-    rows = w.select("layer_uri", F.floor(F.col("token_index") / 2).alias("token_index"), F.when(F.col("token_index") % 3 != 0, F.col("token_index")).alias("head_index"), "label", F.col("token_index").alias("annotation_index"))
+    return _relations(_sentences(spark, d))
+
+
+@query("dependency_relations_whole", without("dependency_relations", _FORTY))
+def dependency_relations_whole(spark, d):
+    return _relations(_documents(spark, d))
+
+
+def _relations(w):
+    rows = w.withColumnRenamed("sentence", "layer_uri").select("layer_uri", F.floor(F.col("token_index") / 2).alias("token_index"), F.when(F.col("token_index") % 3 != 0, F.col("token_index")).alias("head_index"), "label", F.col("token_index").alias("annotation_index"))
     return analytics.dependencies(rows)
 
 
@@ -42,9 +65,18 @@ def dependency_relations(spark, d):
 t AS (SELECT sentence, token_index, CASE WHEN token_index = 0 THEN -1 ELSE (token_index - 1) // 2 END AS head FROM r)
 SELECT sentence, token_index, CAST(floor(log2(token_index + 1)) AS INTEGER) AS depth FROM t""")
 def dependency_tree(spark, d):
+    return _heap(_sentences(spark, d))
+
+
+@query("dependency_tree_whole", without("dependency_tree", _FORTY))
+def dependency_tree_whole(spark, d):
+    return _heap(_documents(spark, d))
+
+
+def _heap(w):
     """Words as the nodes of a binary heap."""
     order = Window.partitionBy("sentence").orderBy("token_index")
-    w = _sentences(spark, d).select("sentence", (F.row_number().over(order) - 1).cast("long").alias("token_index"))
+    w = w.select("sentence", (F.row_number().over(order) - 1).cast("long").alias("token_index"))
     heads = F.when(F.col("token_index") == 0, -1).otherwise(F.floor((F.col("token_index") - 1) / 2))
     return analytics.dependency_tree(w.withColumn("head", heads)).select("sentence", "token_index", "depth")
 

@@ -22,6 +22,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def without(name: str, *cuts: str) -> str:
+    """The SQL of a query without these filters."""
+    sql = ORACLE_SQL[name]
+    for cut in cuts:
+        if cut not in sql:
+            raise ValueError(f"{name} has no filter {cut}")
+        sql = sql.replace(cut, "")
+    return sql
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
