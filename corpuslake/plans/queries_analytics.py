@@ -98,7 +98,16 @@ def byte_spans(spark, d):
 
 @query("tier_timeline", "SELECT event_id, unnest(range(event_id % 7, event_id % 7 + event_id % 3 + 1)) AS \"column\" FROM events WHERE event_id < 1000")
 def tier_timeline(spark, d):
-    e = table(spark, d, "events").filter("event_id < 1000").select("event_id", (F.col("event_id") % 7 * 200).alias("t_start_ms"), ((F.col("event_id") % 7 + F.col("event_id") % 3) * 200 + 10).alias("t_end_ms"))
+    return _timeline(table(spark, d, "events").filter("event_id < 1000"))
+
+
+@query("tier_timeline_whole", without("tier_timeline", " WHERE event_id < 1000"))
+def tier_timeline_whole(spark, d):
+    return _timeline(table(spark, d, "events"))
+
+
+def _timeline(events):
+    e = events.select("event_id", (F.col("event_id") % 7 * 200).alias("t_start_ms"), ((F.col("event_id") % 7 + F.col("event_id") % 3) * 200 + 10).alias("t_end_ms"))
     return analytics.timeline(e).select("event_id", "column")
 
 

@@ -12,14 +12,14 @@ DATA = "/root/testdata/sf0.001"
 TABLES = ("documents", "events", "orders", "customer", "nation", "part", "lineitem", "supplier")
 
 
-def _rows(spark, name):
+def _rows(spark, name, data=DATA):
     con = duckdb.connect()
     for t in TABLES:
-        at = f"{DATA}/{t}.parquet"
+        at = f"{data}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}{'/*.parquet' if os.path.isdir(at) else ''}')")
     want = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
-    return sorted(map(tuple, QUERIES[name](spark, DATA).select(*columns).collect()), key=repr), sorted(want.fetchall(), key=repr)
+    return sorted(map(tuple, QUERIES[name](spark, data).select(*columns).collect()), key=repr), sorted(want.fetchall(), key=repr)
 
 
 @pytest.mark.parametrize("name", ["syntax_grid_whole", "dependency_relations_whole", "dependency_tree_whole"])
@@ -32,3 +32,8 @@ def test_a_tree_of_more_rows_than_a_recursive_query_may_have(spark):
     words = spark.range(1_100_000).select((F.col("id") % 550_000).alias("sentence"), F.floor(F.col("id") / 550_000).alias("token_index"))
     tree = analytics.dependency_tree(words.withColumn("head", F.col("token_index") - 1))
     assert tree.groupBy("depth").count().orderBy("depth").collect() == [(0, 550_000), (1, 550_000)]
+
+
+def test_all_events(spark):
+    got, want = _rows(spark, "tier_timeline_whole", "/root/testdata/sf0.01")
+    assert got == want and max(r[0] for r in got) >= 1000
