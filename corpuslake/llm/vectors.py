@@ -1,16 +1,19 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Equal vectors of a label are one class throughout.  Each pass gives every class a
-code of concatenated random hyperplane hashes and orders the classes of a label by
-it lexicographically; every vector is compared with its next ``window`` neighbours.
-A task reduces its verified pairs to a spanning forest, and the forests of all passes
-are united to components.  Links never leave a component, so the links of a vector
-are then counted within its component, in blocks of ``block`` vectors, so that the
-members of a large one are spread over tasks; pairs are counted and never listed.
-
-A pass finds a pair if the two come within ``window`` places of each other, so
-recall falls with the angle and rises with ``passes``; a near pair that all passes
-miss is still found if other vectors connect it.
+"""Near-duplicate vectors by all pairs or by sorted projection passes.
+
+Equal vectors of a label are one class throughout.  Hashes are of a class's unit
+vector less the mean of its label, so that a direction that a label's vectors share
+costs no bits.  How many passes a label needs follows from its number of classes and
+how far they lie from the mean: so many that a pair at the threshold that nothing else
+connects is found with probability ``recall``.  Where comparing all pairs is cheaper
+than that, all pairs are compared, block by block, and nothing is missed.
+
+Each pass gives every class a code of concatenated random hyperplane hashes and orders
+the classes of a label by it lexicographically; every vector is compared with its next
+``window`` neighbours.  A task reduces its verified
+pairs to a spanning forest, and all forests are united to components.  Links never
+leave a component, so the links of a vector are then counted within its component, in
+blocks of ``block`` vectors, so that the members of a large one are spread over tasks;
+pairs are counted and never listed.
 """
 
 from __future__ import annotations
@@ -49,50 +52,130 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _codes(kind: str, passes: int, bits: int, seed: int):
-    """Classes to one row for each pass: ``pass, group, dim, code, id, vector``."""
+def _sums(kind: str):
+    """Classes to partial sums by label and length: ``group, dim, n, total``."""
 
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            group, dims, ids, raw = (batch.column(k) for k in range(4))
-            sizes = dims.to_numpy()
+            rows = batch.select(["group", "dim", "vector"]).to_pandas()
+            found = [(g, d, len(own), _unit(_stack(own["vector"], kind)).sum(axis=0).tobytes()) for (g, d), own in rows.groupby(["group", "dim"])]
+            if found:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (batch.schema.field("group").type, pa.int32(), pa.int64(), pa.binary()), strict=True)], ["group", "dim", "n", "total"])
+
+    return run
+
+
+def passes_for(n: int, shared: float, threshold: float, window: int, recall: float) -> int:
+    """Passes that find an isolated pair at the threshold among ``n`` classes whose mean has length ``shared``.
+
+    The two agree on a hash with probability 1 - angle / pi and must agree on about
+    log2(n / window) of them to come within the window.
+    """
+    apart = max(1 - shared * shared, 1e-9)
+    agree = 1 - np.arccos(np.clip(1 - (1 - threshold) / apart, -1, 1)) / np.pi
+    met = max(agree, 1e-3) ** max(np.log2(max(n, 1) / window), 0)
+    return int(min(np.ceil(np.log(1 - recall) / np.log1p(-met)), 1e6)) if met < recall else 1
+
+
+def _plans(threshold: float, passes: int, window: int, recall: float, pairs_per_pass: int):
+    """Sums of a label to its mean and its passes, none where all pairs are compared."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows["n"].sum())
+        mean = sum(np.frombuffer(t, np.float64) for t in rows["total"]) / n
+        need = max(passes, passes_for(n, float(np.sqrt(mean @ mean)), threshold, window, recall))
+        need = 0 if n <= pairs_per_pass * need else need
+        return pd.DataFrame({"group": rows["group"].iloc[:1], "dim": rows["dim"].iloc[:1], "n": [n], "mean": [mean.tobytes()], "passes": [need]})
+
+    return run
+
+
+def _codes(kind: str, bits: int, seed: int):
+    """Classes with their label's mean and passes to one row for each pass: ``pass, group, dim, code, id, vector``."""
+
+    def run(batches):
+        for batch in batches:
+            group, dims, ids, raw, means, needs = (batch.column(k) for k in range(6))
+            sizes, needs = dims.to_numpy(), needs.to_numpy()
             for dim in np.unique(sizes).tolist():
-                at = pa.array(np.flatnonzero(sizes == dim))
-                own = raw.take(at)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng((seed, dim)).standard_normal((dim, passes * bits))
-                signs = (_unit(_stack(own, kind)) @ planes[dim] > 0).reshape(len(own), passes, bits)
-                code = signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                for p in range(passes):
-                    yield pa.record_batch([pa.array(np.full(len(own), p, np.int32)), group.take(at), dims.take(at), pa.array(code[:, p]), ids.take(at), own], ["pass", "group", "dim", "code", "id", "vector"])
+                place = np.flatnonzero(sizes == dim)
+                at = pa.array(place)
+                rows = _unit(_stack(raw.take(at), kind)) - _stack(means.take(at), "<f8")
+                for p in range(int(needs[place].max())):
+                    own = needs[place] > p
+                    at = pa.array(place[own])
+                    planes = np.random.default_rng((seed, dim, p)).standard_normal((dim, bits))
+                    code = (rows[own] @ planes > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+                    yield pa.record_batch([pa.array(np.full(len(at), p, np.int32)), group.take(at), dims.take(at), pa.array(code), ids.take(at), raw.take(at)], ["pass", "group", "dim", "code", "id", "vector"])
+
+    return run
+
+
+def _forest(ids: np.ndarray, pairs: list):
+    """A spanning forest of pairs of places, as ids."""
+    root = _roots(len(ids), np.concatenate(pairs[0]), np.concatenate(pairs[1]))
+    linked = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[linked], ids[root[linked]]
+
+
+def _pairs(kind: str, threshold: float, step: int = 512):
+    """Rows of one pair of blocks of a label to a spanning forest of their verified pairs."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, vectors = rows["id"].to_numpy(), _unit(_stack(rows["vector"], kind))
+        part, pairs = rows["part"].to_numpy(), [[], []]
+        left, right = np.flatnonzero(part == rows["low"].iloc[0]), np.flatnonzero(part == rows["high"].iloc[0])
+        for at in range(0, len(left), step):
+            x, y = np.nonzero(vectors[left[at : at + step]] @ vectors[right].T >= threshold)
+            x, y = left[at + x], right[y]
+            pairs[0].append(x[x != y])
+            pairs[1].append(y[x != y])
+        a, b = _forest(ids, pairs) if pairs[0] else ([], [])
+        return pd.DataFrame({"a": a, "b": b}).astype("int64")
 
     return run
 
 
-def _windows(kind: str, window: int, threshold: float):
-    """Sorted rows to a spanning forest of the verified pairs of neighbours."""
+def _windows(kind: str, window: int, threshold: float, ends: bool = True):
+    """Sorted rows to a spanning forest of the verified pairs of neighbours.
+
+    With ``ends``, the partition's first and last ``window`` rows follow, each once:
+    put together in order they are neighbours as before, across partitions.
+    """
+
+    def links(table):
+        n, ids = len(table), table["id"].to_numpy()
+        group = pd.factorize(pd.MultiIndex.from_frame(table.select(["pass", "group", "dim"]).to_pandas()))[0]
+        pairs = [[], []]
+        edge = np.flatnonzero(np.diff(table["dim"].to_numpy())) + 1
+        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), n], strict=True):
+            rows = _unit(_stack(table["vector"].slice(s, e - s), kind))
+            for step in range(1, min(window, e - s - 1) + 1):
+                close = np.flatnonzero((group[s : e - step] == group[s + step : e]) & (np.einsum("ij,ij->i", rows[:-step], rows[step:]) >= threshold)) + s
+                pairs[0].append(close)
+                pairs[1].append(close + step)
+        return _forest(ids, pairs) if pairs[0] else (ids[:0], ids[:0])
 
     def run(batches):
-        kept = None
+        kept, first, seen, schema = None, [], 0, None
         for batch in batches:
+            if not len(batch):
+                continue
+            schema = batch.schema
+            if seen < window:
+                first.append(batch.slice(0, window - seen))
+            seen += len(batch)
             table = pa.Table.from_batches([batch])
             table = table if kept is None else pa.concat_tables([kept, table])
             kept = table.slice(max(len(table) - window, 0))
-            n, ids = len(table), table["id"].to_numpy()
-            group = pd.factorize(pd.MultiIndex.from_frame(table.select(["pass", "group", "dim"]).to_pandas()))[0]
-            pairs = [[], []]
-            edge = np.flatnonzero(np.diff(table["dim"].to_numpy())) + 1
-            for s, e in zip([0, *edge.tolist()], [*edge.tolist(), n], strict=True):
-                rows = _unit(_stack(table["vector"].slice(s, e - s), kind))
-                for step in range(1, min(window, e - s - 1) + 1):
-                    close = np.flatnonzero((group[s : e - step] == group[s + step : e]) & (np.einsum("ij,ij->i", rows[:-step], rows[step:]) >= threshold)) + s
-                    pairs[0].append(close)
-                    pairs[1].append(close + step)
-            if pairs[0]:
-                root = _roots(n, np.concatenate(pairs[0]), np.concatenate(pairs[1]))
-                linked = np.flatnonzero(root != np.arange(n))
-                yield pa.record_batch([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
+            a, b = links(table)
+            blank = [pa.nulls(len(a), f.type) for f in schema]
+            yield pa.record_batch([pa.array(a), pa.array(b), *(blank if ends else [])], ["a", "b", *(schema.names if ends else [])])
+        if ends and seen:
+            last = min(window, max(seen - window, 0))
+            edge = pa.concat_tables([pa.Table.from_batches(first), kept.slice(len(kept) - last)]).combine_chunks().to_batches()[0]
+            none = pa.nulls(len(edge), pa.int64())
+            yield pa.record_batch([none, none, *edge.columns], ["a", "b", *schema.names])
 
     return run
 
@@ -114,7 +197,7 @@ def _count(kind: str, threshold: float):
     return run
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = 16, bits: int = 32, window: int = 32, block: int = 2048, seed: int = 7) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = 16, bits: int = 32, window: int = 32, block: int = 2048, seed: int = 7, recall: float = 0.99, pairs_per_pass: int = 4096, pair_block: int = 8192) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row.
 
     Rows link when their labels are equal and not null and the cosine, in double
@@ -141,9 +224,23 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     group_type = df.schema[label_col].dataType.simpleString()
     packed = classes.select("group", F.size("v").alias("dim"), F.col("first").alias("id"), "v", "copies").mapInArrow(binary, f"group {group_type}, dim int, id long, copies long, vector binary")
     classed = work.table(packed, "classes")
-    coded = classed.select("group", "dim", "id", "vector").mapInArrow(_codes(kind, passes, bits, seed), f"pass int, group {group_type}, dim int, code long, id long, vector binary")
+    label = f"group {group_type}, dim int"
+    sums = classed.select("group", "dim", "vector").mapInArrow(_sums(kind), f"{label}, n long, total binary")
+    plans = work.table(sums.groupBy("group", "dim").applyInPandas(_plans(threshold, passes, window, recall, pairs_per_pass), f"{label}, n long, mean binary, passes int"), "plans")
+    planned = classed.select("group", "dim", "id", "vector").join(plans, ["group", "dim"])
+    coded = planned.filter("passes > 0").select("group", "dim", "id", "vector", "mean", "passes").mapInArrow(_codes(kind, bits, seed), f"pass int, {label}, code long, id long, vector binary")
     keys = ["pass", "group", "dim", "code", "id"]
-    forest = coded.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_windows(kind, window, threshold), "a long, b long")
+    in_order = coded.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    swept = work.table(in_order.mapInArrow(_windows(kind, window, threshold), f"a long, b long, pass int, {label}, code long, id long, vector binary"), "swept")
+    blocks = F.ceil(F.col("n") / pair_block).cast("int")
+    faced = (
+        planned.filter("passes = 0 and n > 1")
+        .withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("group", "dim", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "vector")
+    )
+    compared = faced.groupBy("group", "dim", "low", "high").applyInPandas(_pairs(kind, threshold), "a long, b long")
+    forest = swept.filter("a is not null").select("a", "b").unionAll(compared)
     parts = connected_components(forest, work).withColumnRenamed("node", "id")
     members = work.table(classed.join(parts, "id"), "members")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
