@@ -37,3 +37,10 @@ def test_a_tree_of_more_rows_than_a_recursive_query_may_have(spark):
 def test_all_events(spark):
     got, want = _rows(spark, "tier_timeline_whole", "/root/testdata/sf0.01")
     assert got == want and max(r[0] for r in got) >= 1000
+
+
+@pytest.mark.parametrize(("name", "part"), [("kb_neighbors_whole", "kb_neighbors"), ("closure_whole", "closure_recursive")])
+def test_all_starting_points(spark, name, part):
+    got, want = _rows(spark, name, "/root/testdata/sf0.01")
+    some = _rows(spark, part, "/root/testdata/sf0.01")
+    assert got == want and some[0] == some[1] and len(got) > 5 * len(some[0])
