@@ -9,7 +9,7 @@ than that, all pairs are compared, block by block, and nothing is missed.
 
 Each pass gives every class a code of concatenated random hyperplane hashes and orders
 the classes of a label by it lexicographically; every vector is compared with its next
-``window`` neighbours.  A task reduces its verified
+``window`` neighbours, across the ends of partitions too.  A task reduces its verified
 pairs to a spanning forest, and all forests are united to components.  Links never
 leave a component, so the links of a vector are then counted within its component, in
 blocks of ``block`` vectors, so that the members of a large one are spread over tasks;
@@ -232,6 +232,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     keys = ["pass", "group", "dim", "code", "id"]
     in_order = coded.repartitionByRange(*keys).sortWithinPartitions(*keys)
     swept = work.table(in_order.mapInArrow(_windows(kind, window, threshold), f"a long, b long, pass int, {label}, code long, id long, vector binary"), "swept")
+    edges = swept.filter("vector is not null").select(*keys, "vector").repartition(1).sortWithinPartitions(*keys)
+    across = edges.select("pass", "group", "dim", "code", "id", "vector").mapInArrow(_windows(kind, window, threshold, ends=False), "a long, b long")
     blocks = F.ceil(F.col("n") / pair_block).cast("int")
     faced = (
         planned.filter("passes = 0 and n > 1")
@@ -240,7 +242,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         .select("group", "dim", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "vector")
     )
     compared = faced.groupBy("group", "dim", "low", "high").applyInPandas(_pairs(kind, threshold), "a long, b long")
-    forest = swept.filter("a is not null").select("a", "b").unionAll(compared)
+    forest = swept.filter("a is not null").select("a", "b").unionAll(across).unionAll(compared)
     parts = connected_components(forest, work).withColumnRenamed("node", "id")
     members = work.table(classed.join(parts, "id"), "members")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
