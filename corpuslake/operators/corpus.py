@@ -82,21 +82,23 @@ def lineage_cut(spark):
     return lambda df: df.cache()
 
 
-def closure(spark, edges: DataFrame, seeds: DataFrame, known: DataFrame, depth: int = 1000, work=None) -> DataFrame:
+def closure(spark, edges: DataFrame, seeds: DataFrame, known: DataFrame, depth: int | None = None, work=None) -> DataFrame:
     """``uri``: what can be reached from ``seeds`` over ``edges(src, dst)`` within ``known(uri)``; each once.
 
     The frontier is joined and anti-joined level by level.  A frontier's lineage is
     cut by ``checkpoint()`` to the folder that the cluster shares, if one is set.
+    Levels have no limit; with ``depth`` one that would be cut off is an error.
     """
-    cut = lineage_cut(spark)
+    cut, level = lineage_cut(spark), 0
     reached = frontier = cut(seeds.select("uri").join(known, "uri", "left_semi").distinct())
-    for _ in range(depth):
+    while True:
         step = edges.join(frontier, edges.src == frontier.uri, "left_semi").select(F.col("dst").alias("uri")).distinct()
         frontier = cut(step.join(known, "uri", "left_semi").join(reached, "uri", "left_anti"))
         if frontier.isEmpty():
-            break
-        reached = cut(reached.unionAll(frontier))
-    return reached
+            return reached
+        if level == depth:
+            raise ValueError(f"records more than {depth} references from where they start")
+        reached, level = cut(reached.unionAll(frontier)), level + 1
 
 
 def type_counts(records: DataFrame, nsid: str = "nsid") -> DataFrame:

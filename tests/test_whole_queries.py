@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from corpuslake.operators import analytics
+from corpuslake.operators import analytics, corpus
 from corpuslake.plans.registry import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 
@@ -44,3 +44,12 @@ def test_all_starting_points(spark, name, part):
     got, want = _rows(spark, name, "/root/testdata/sf0.01")
     some = _rows(spark, part, "/root/testdata/sf0.01")
     assert got == want and some[0] == some[1] and len(got) > 5 * len(some[0])
+
+
+def test_a_closure_is_never_cut_off(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(4)], "src string, dst string")
+    known = spark.createDataFrame([(f"n{k}",) for k in range(5)], "uri string")
+    start = known.filter("uri = 'n0'")
+    with pytest.raises(ValueError, match="more than 2"):
+        corpus.closure(spark, edges, start, known, depth=2)
+    assert corpus.closure(spark, edges, start, known, depth=4).count() == corpus.closure(spark, edges, start, known).count() == 5
