@@ -104,7 +104,7 @@ def test_posting_lists_find_all_links(spark):
     near = [f ^ np.uint64(sum(1 << int(b) for b in draw.choice(64, k, replace=False))) for f in fps for k in (1, 4, 5)]
     values = np.unique(np.concatenate([fps, np.array(near, np.uint64)]))
     rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    links = simhash.index_links(rows).distinct().collect()
+    links = simhash.index_links(rows, Workspace(spark, "t")).distinct().collect()
     assert all((np.array([r.a, r.b]).view(np.uint64)[0] ^ np.array([r.a, r.b]).view(np.uint64)[1]).item().bit_count() <= 4 for r in links)
     found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "t")).collect()}
     ids = values.view(np.int64).tolist()
@@ -112,6 +112,21 @@ def test_posting_lists_find_all_links(spark):
     assert all(found.get(ids[k], ids[k]) == c for k, c in want.items())
 
 
+def test_long_lists_are_split_exactly(spark):
+    draw = np.random.default_rng(3)
+    center = int(draw.integers(0, 1 << 63))
+    values = {center ^ sum(1 << int(b) for b in draw.choice(64, int(k), replace=False)) for k in draw.integers(0, 9, 400)} | {int(v) for v in draw.integers(0, 1 << 63, 50)}
+    values = np.array(sorted(values), np.uint64)
+    rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    ids = values.view(np.int64).tolist()
+    want = brute_components(ids, lambda a, b: int(values[a] ^ values[b]).bit_count() <= 4)
+    for longest in (1, 10, 4096):
+        links = simhash.index_links(rows, Workspace(spark, "t"), longest=longest)
+        assert all((a ^ b).bit_count() <= 4 for a, b in ((r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in links.collect()))
+        found = {r.node: r.component for r in components.connected_components(links, Workspace(spark, "t")).collect()}
+        assert all(found.get(ids[k], ids[k]) == c for k, c in want.items())
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(200, 400)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "t")).collect()}
