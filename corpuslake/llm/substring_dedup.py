@@ -2,21 +2,24 @@
 
 Texts are parsed as UTF-8 bytes into overlapping phrases.  The trigger of a phrase
 is a rolling hash of ``GRAM`` bytes that is least in its neighbourhood, so every
-window of ``length`` bytes belongs to exactly one trigger, and equal windows lie at
-the same place from equal triggers.  A phrase is all bytes of its trigger's windows:
-neighbours overlap, and the windows of a phrase never leave it.  The distinct
-phrases are the dictionary and their occurrences the parse.
-
-For order and equality to ``length`` bytes it suffices to look into phrases, so
-dictionary and parse combine as follows.  Parse entries are sorted by trigger,
-phrase and place; of equal phrases all but the first repeat an earlier text as a
-whole.  A phrase whose trigger no other phrase has needs no more.  The suffixes of
-the remaining dictionary phrases, cut to ``length`` bytes and held as 128-bit
-fingerprints, are sorted with the first place of their phrase, and all but the
-first of equal ones repeat.  Each entry or suffix is a row, and rows that a task has
-seen already are settled before they are exchanged, so a passage that a third of all
-documents share reaches the network once for each task.  Sorted groups are
-streamed, holding one row, so their size does not matter.
+window of ``length`` bytes belongs to exactly one trigger, and equal windows belong to
+equal triggers.  A phrase is all bytes of its trigger's windows: neighbours overlap,
+and the windows of a phrase never leave it.  The distinct phrases are the dictionary,
+their occurrences in corpus order the parse.
+
+Corpus order of the corpus's suffixes, as far as ``length`` bytes tell them apart, is
+then made of the two.  The parse is sorted by phrase and place: all but the first
+occurrence of a phrase repeat an earlier text as a whole.  Phrases whose trigger no
+other phrase has need no more.  The others' dictionary entries meet by trigger, and a
+suffix array of each trigger's phrases, cut to ``length`` bytes, is sorted with ties in
+the order of the parse: of equal suffixes all but the first repeat.  A suffix that ends
+beyond its phrase never decides, so ranks of the parse's own suffixes are not needed.
+
+Nothing grows with a popular passage: occurrences that a batch has seen already are
+settled before they are exchanged, the others are dealt by phrase, not by trigger, and
+streamed.  The suffixes of a trigger with more than ``crowded`` phrases are not sorted
+in one task; they are dealt by a 128-bit fingerprint of their bytes, and all but the
+first of equal ones repeat.
 """
 
 from __future__ import annotations
@@ -106,39 +109,79 @@ def _entries(length: int):
 
 
 def _settle(batches):
-    """Sorted parse entries to repeats, and open phrases that share their trigger with another phrase."""
-    names = ["doc", "start", "windows", "kind"]
-    trigger = phrase = None
-    waiting = None  # the first phrase of a trigger, until another phrase shows up
+    """Sorted parse entries to ``doc, start, windows, kind, trigger``: the first of a phrase is OPEN, the others REPEAT."""
+    last = None
     for batch in batches:
-        t, p, doc, start, windows, kind = (batch.column(k).to_numpy() for k in range(6))
-        settled = kind == REPEAT
-        done = [(doc[settled], start[settled], windows[settled], kind[settled])]
-        t, p, doc, start, windows = (x[~settled] for x in (t, p, doc, start, windows))
-        if len(t):
-            new_t, new_p = np.ones(len(t), bool), np.ones(len(t), bool)
-            new_t[1:] = t[1:] != t[:-1]
-            new_p[1:] = new_t[1:] | (p[1:] != p[:-1])
-            if trigger is not None and t[0] == trigger:
-                new_t[0], new_p[0] = False, p[0] != phrase
-            trigger, phrase = t[-1], p[-1]
-            again = ~new_p
-            done.append((doc[again], start[again], windows[again], np.full(again.sum(), REPEAT, np.int32)))
-            heads = np.flatnonzero(new_p)
-            if len(heads):
-                first = new_t[heads]
-                if waiting is not None and not first[0]:
-                    done.append(waiting)
-                waiting = None
-                shared = ~first
-                shared[:-1] |= ~first[1:]
-                at = heads[shared]
-                done.append((doc[at], start[at], windows[at], np.full(len(at), OPEN, np.int32)))
-                if first[-1]:
-                    k = heads[-1:]
-                    waiting = (doc[k], start[k], windows[k], np.full(1, OPEN, np.int32))
-        columns = [np.concatenate(x) for x in zip(*done, strict=True)]
-        yield pa.record_batch([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], names)
+        trigger, phrase, doc, start, windows, kind = (batch.column(k).to_numpy() for k in range(6))
+        own = np.flatnonzero(kind != REPEAT)
+        t, p = trigger[own], phrase[own]
+        first = np.ones(len(own), bool)
+        first[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1])
+        if len(own):
+            first[0] = (t[0], p[0]) != last
+            last = (t[-1], p[-1])
+        kind = np.full(len(kind), REPEAT, np.int32)
+        kind[own[first]] = OPEN
+        yield pa.record_batch([*map(pa.array, (doc, start, windows, kind)), pa.array(trigger, mask=kind == REPEAT)], ["doc", "start", "windows", "kind", "trigger"])
+
+
+def _phrases(length: int):
+    """Documents with the places of their open phrases to dictionary rows ``trigger, doc, start, phrase``."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = text.encode("utf-8", "replace")
+                rows += [(p["trigger"], doc, p["start"], raw[p["start"] : p["start"] + p["windows"] + length - 1]) for p in places]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["trigger", "doc", "start", "phrase"])
+
+    return run
+
+
+def suffix_array(phrases: list[bytes], length: int) -> tuple[list[bytes], list[int]]:
+    """The suffixes of the phrases cut to ``length`` bytes, as they lie in the phrases, and their order; equal ones keep theirs."""
+    windows = [p[a : a + length] for p in phrases for a in range(len(p) - length + 1)]
+    return windows, sorted(range(len(windows)), key=windows.__getitem__)
+
+
+def _suffix_arrays(length: int):
+    """Dictionary rows, sorted by trigger and place, to runs ``doc, start, windows`` of suffixes that an earlier one equals."""
+
+    def marks(phrases):
+        windows, order = suffix_array(phrases, length)
+        later, before = bytearray(len(windows)), None
+        for k in order:
+            if windows[k] == before:
+                later[k] = 1
+            before = windows[k]
+        return bytes(later)
+
+    def runs(rows, flags):
+        doc, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        sizes = np.array([len(r[3]) - length + 1 for r in rows], np.int64)
+        first = np.cumsum(sizes) - sizes
+        later = np.frombuffer(b"".join(flags), np.uint8)
+        opens = np.append(0, later[:-1]) < later
+        opens[first] = later[first] > 0
+        begin = np.flatnonzero(opens)
+        row = np.repeat(np.arange(len(rows)), sizes)[begin]
+        within = np.add.reduceat(later, begin, dtype=np.int64) if len(begin) else begin
+        return pa.record_batch([pa.array(doc[row]), pa.array(start[row] + begin - first[row]), pa.array(within.astype(np.int32))], ["doc", "start", "windows"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            edges = [k for k in range(1, len(held)) if held[k][0] != held[k - 1][0]]
+            if edges:
+                flags = [marks([r[3] for r in held[a:b]]) for a, b in zip([0, *edges[:-1]], edges, strict=True)]
+                yield runs(held[: edges[-1]], flags)
+                held = held[edges[-1] :]
+        if held:
+            yield runs(held, [marks([r[3] for r in held])])
+
+    return run
 
 
 def _suffixes(length: int):
@@ -214,7 +257,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataFr
     return work.table(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_key"), "_id", "_text"), "keyed")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowded: int = 4096) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept`` (binary) for every row.
 
     A byte goes if a ``length``-byte string of its document covers it that also
@@ -229,18 +272,27 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = _keyed(df, id_col, text_col, work)
     entries = docs.select("_key", "_text").mapInArrow(_entries(length), "trigger long, phrase long, doc long, start long, windows int, kind int")
     order = ["trigger", "phrase", "doc", "start"]
-    settled = work.table(entries.repartition("trigger").sortWithinPartitions(*order).mapInArrow(_settle, "doc long, start long, windows int, kind int"), "settled")
-
-    def by_doc(rows):
-        return rows.groupBy(F.col("doc").alias("_key")).agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
-
-    opened = by_doc(settled.filter(F.col("kind") == OPEN)).hint("shuffle_hash")
-    suffixes = docs.join(opened, "_key").select("_key", "_text", "starts", "windows").mapInArrow(_suffixes(length), "high long, low long, doc long, start long, kind int")
-    ordered = suffixes.repartition("high", "low").sortWithinPartitions("high", "low", "doc", "start")
-    found = work.table(ordered.mapInArrow(_repeats, "doc long, start long"), "suffixes")
-    repeats = settled.filter(F.col("kind") == REPEAT).select("doc", "start", "windows").unionByName(found.withColumn("windows", F.lit(1)))
-    marked = docs.join(by_doc(repeats).hint("shuffle_hash"), "_key", "left")
-    out = marked.select("_key", "_text", "starts", "windows").mapInArrow(_removal(length), "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    parsed = entries.repartition("trigger", "phrase").sortWithinPartitions(*order)
+    settled = work.table(parsed.mapInArrow(_settle, "doc long, start long, windows int, kind int, trigger long"), "settled")
+    heads = settled.filter(F.col("kind") == OPEN).select("trigger", "doc", "start", "windows")
+    shared = heads.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1")
+    opened = work.table(heads.join(shared, "trigger"), "opened")
+
+    def by_doc(rows, *columns):
+        return rows.groupBy(F.col("doc").alias("_key")).agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
+
+    some = opened.filter(F.col("phrases") <= crowded).select("doc", F.struct("trigger", "start", "windows").alias("place"))
+    dictionary = docs.join(by_doc(some, "place").hint("shuffle_hash"), "_key").select("_key", "_text", "places").mapInArrow(_phrases(length), "trigger long, doc long, start long, phrase binary")
+    in_order = dictionary.repartition("trigger").sortWithinPartitions("trigger", "doc", "start")
+    repeats = settled.filter(F.col("kind") == REPEAT).select("doc", "start", "windows")
+    repeats = repeats.unionByName(work.table(in_order.mapInArrow(_suffix_arrays(length), "doc long, start long, windows int"), "suffixes"))
+    many = opened.filter(F.col("phrases") > crowded)
+    if not many.isEmpty():
+        suffixes = docs.join(by_doc(many, "start", "windows").hint("shuffle_hash"), "_key").select("_key", "_text", "starts", "windowss").mapInArrow(_suffixes(length), "high long, low long, doc long, start long, kind int")
+        spread = suffixes.repartition("high", "low").sortWithinPartitions("high", "low", "doc", "start")
+        repeats = repeats.unionByName(work.table(spread.mapInArrow(_repeats, "doc long, start long"), "crowded").withColumn("windows", F.lit(1)))
+    marked = docs.join(by_doc(repeats, "start", "windows").hint("shuffle_hash"), "_key", "left")
+    out = marked.select("_key", "_text", "starts", "windowss").mapInArrow(_removal(length), "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if "keyed" in work._made:
         return out.join(docs.select("_key", F.col("_id").alias(id_col)), "_key").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     return out.withColumnRenamed("_key", id_col)

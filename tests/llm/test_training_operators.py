@@ -211,11 +211,19 @@ def test_substring_dedup(spark, docs):
         want[i] = (len(raw), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), kept)
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got} == want
+    crowded = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowded=2).collect()
+    assert sorted(map(tuple, crowded)) == sorted(map(tuple, got))
     repeated = substring_dedup.remove_repeats(docs).collect()  # ids that are null or repeat
     assert len(repeated) == len(corpus_rows()) and sorted(r.n_removed for r in repeated if r.doc_id == 0) == [0, len(corpus_rows()[0][1])]
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def test_suffix_arrays_are_in_byte_order():
+    phrases = [b"abcabcabd" * 20, b"abcabcabd" * 14, bytes(range(256))]
+    windows, order = substring_dedup.suffix_array(phrases, 100)
+    assert [windows[k] for k in order] == sorted(windows) and all(a < b for a, b in zip(order, order[1:]) if windows[a] == windows[b])
+
+
 def test_long_texts_are_parsed_in_segments(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_SEGMENT", 500)
     data = np.frombuffer(prose(3, 900).encode(), np.uint8)
