@@ -78,8 +78,11 @@ def append_columns(df: DataFrame, text_col: str, fields: list, make, keep: list[
 
     def run(batches):
         for batch in batches:
-            made = make(batch.column(batch.schema.get_field_index("_text")).to_pylist())
+            made = make(batch.column(len(keep)).to_pylist())
             yield pa.record_batch([*(batch.column(k) for k in range(len(keep))), *(pa.array(v, type=t) for v, t in zip(made, kinds, strict=True))], names)
 
-    rows = df.select(*keep, F.col(text_col).alias("_text"))
+    own = "_text"
+    while own.lower() in map(str.lower, keep):
+        own += "_"
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias(own))
     return rows.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *fields]))

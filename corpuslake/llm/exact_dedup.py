@@ -1,18 +1,18 @@
 """Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
 Each row's text is normalised (white space deleted) and digested.  Rows are dealt
-to ``runs`` runs by a hash of their id.  A run is the sorted list of its digests,
-each with the smallest identifier seen.  Runs then meet in rounds of ``fan_in``:
-round k merges the runs whose numbers agree after k divisions, so each round is an
-aggregation on (digest, run number).  Spark sorts and pre-aggregates a run before
-it is exchanged, so a digest that a third of all rows share crosses the network
-at most once for each task and run, and no task receives more of it than there
-are runs.  A 64-bit digest orders the runs and SHA-256 verifies every match.
-
-The runs are written once, so the texts are read twice in all: to make the runs,
-and to give every row its group.  The way back down uses the same runs: the final winners are joined to the
-run-level entries first, and rows meet their own run's entry only, so copies of
-one text are spread over ``runs`` keys.
+to ``runs`` runs by a hash of their id.  A run is the sorted list of its digests, cut
+into digest ranges, each digest with the smallest identifier seen; Spark pre-aggregates
+a task's rows before the runs are made, so a digest that a third of all rows share
+crosses the network at most once for each task and run.  Runs then meet in rounds, as
+in a binomial tree of degree ``fan_in``: in round k those whose numbers agree after k
+divisions go, range by range, to one partition, where they are merged in digest order
+and of equal entries the smallest identifier is retained, verified by SHA-256.  A round
+is one exchange; its merge neither exchanges nor sorts again, and no task receives
+more of a digest than there are runs.  The last round leaves one run, still in ranges.
+
+On the way back down the winners meet the entries of the first runs, and rows meet
+their own run's entry only, so copies of one text are spread over ``runs`` keys.
 """
 
 from __future__ import annotations
@@ -22,44 +22,51 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import SPACE, Workspace
 
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
+_ORDER = ("range", "run", "digest", "sha")
+
+
+def merged_runs(runs: DataFrame, count: int, fan_in: int = 8) -> DataFrame:
+    """The rounds: ``count`` sorted runs ``range, run, digest, sha, best, n`` to one."""
+    while count > 1:
+        met = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition("range", "run").sortWithinPartitions(*_ORDER)
+        runs = met.groupBy(*_ORDER).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        count = -(-count // fan_in)
+    return runs
+
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """All rows and columns of ``df`` with ``keep_id, group_size, kept, text_sha256``.
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 512, fan_in: int = 8, columns: list[str] | None = None) -> DataFrame:
+    """All rows of ``df``, its ``columns`` (default: all), and ``keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after deleting white space; a null text counts
     as empty, so null, empty and blank texts are one group.  Of equal texts the row
     with the most code points stays, ties go to the smallest id, and a null id loses
     to any other.  Of rows repeated with one id and text exactly one is kept.  An
     empty table gives an empty result.  The four result names replace columns of
-    the same name in ``df``; all other columns are passed through.
+    the same name in ``df``; no other column's name matters.  Without the text among
+    ``columns`` texts are read once, else twice.
     """
-    results = ("keep_id", "group_size", "kept", "text_sha256")
-    df = df.drop(*results)
+    work, names = Workspace(df.sparkSession, "exact"), [c for c in columns or df.columns if c not in RESULTS]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    normal = F.regexp_replace(text, SPACE + "+", "")
-    base = (
-        df.withColumn("_sha", F.unhex(F.sha2(normal, 256)))
-        .withColumn("_digest", F.xxhash64("_sha"))
-        .withColumn("_points", F.length(text))
-        .withColumn("_run", F.pmod(F.xxhash64(F.lit("run"), F.col(id_col)), F.lit(runs)).cast("int"))
+    ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (
+        df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).alias("id"), F.length(text).alias("points"), F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)).alias("sha"))
+        .withColumn("digest", F.xxhash64("sha"))
+        .withColumn("range", F.floor(F.shiftrightunsigned("digest", 32) * ranges / 2**32).cast("int"))
+        .withColumn("run", F.pmod(F.xxhash64(F.lit("run"), "id"), F.lit(runs)).cast("int"))
     )
-    first = F.struct((-F.col("_points")).alias("p"), F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"))
-    level0 = base.groupBy("_digest", "_sha", "_run").agg(F.min(first).alias("_best"), F.count(F.lit(1)).alias("_n"))
-    level0 = Workspace(df.sparkSession, "exact").table(level0, "runs")  # read on the way up and on the way down
-    level, left = level0, runs
-    while left > 1:
-        level = level.groupBy("_digest", "_sha", F.floor(F.col("_run") / fan_in).cast("int").alias("_run")).agg(F.min("_best").alias("_best"), F.sum("_n").alias("_n"))
-        left = -(-left // fan_in)
-    top = level.select("_digest", "_sha", F.col("_best").alias("_keep"), F.col("_n").alias("group_size"))
-    entries = level0.select("_digest", "_sha", "_run").join(top, ["_digest", "_sha"])
-    same_row = Window.partitionBy("_digest", "_sha", "_run", F.col(id_col)).orderBy(F.col("_points").desc())
+    if text_col not in names:
+        rows = work.table(rows, "rows")
+    first = F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("id"))
+    made = work.table(rows.groupBy(*_ORDER).agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("n")), "runs")  # read on the way up and on the way down
+    top = merged_runs(made, runs, fan_in).select("digest", "sha", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
+    entries = made.select("digest", "sha", "run").join(top, ["digest", "sha"])
+    same_row = Window.partitionBy("digest", "sha", "run", "id").orderBy(F.col("points").desc())
     return (
-        base.join(entries, ["_digest", "_sha", "_run"])
-        .withColumn("_copy", F.row_number().over(same_row))
-        .withColumn("keep_id", F.col("_keep.id"))
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1))
-        .withColumn("text_sha256", F.lower(F.hex("_sha")))
-        .select(*df.columns, *results)
+        rows.join(entries, ["digest", "sha", "run"])
+        .withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same_row) == 1))
+        .withColumn("text_sha256", F.lower(F.hex("sha")))
+        .select(*(F.col(f"row.`{c}`") for c in names), *RESULTS)
     )
 
 
@@ -70,7 +77,7 @@ def kept_rows(df: DataFrame, **options) -> DataFrame:
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, columns=["doc_id"])
 
 
 OP8_SQL = r"""

@@ -36,6 +36,13 @@ def _bisect(flat_enough) -> float:
     return high
 
 
+def entropy_of(counts: list[int], power: float) -> float:
+    """Entropy in bits of the normalised powers of token counts."""
+    weights = [c**power for c in counts]
+    total = sum(weights)
+    return math.log2(total) - sum(w * math.log2(w) for w in weights) / total
+
+
 def exponent(totals: DataFrame, max_repeats: float | None, entropy: float | None) -> float:
     """The exponent for ``totals(source, tokens)``."""
     if entropy is None:
@@ -44,20 +51,19 @@ def exponent(totals: DataFrame, max_repeats: float | None, entropy: float | None
         return _bisect(lambda a: most is None or (most / least) ** (1 - a) <= max_repeats)
     shares = totals.filter("tokens > 0")
     few = shares.limit(FEW_SOURCES + 1).collect()
+    if not few:
+        return 1.0
     if len(few) <= FEW_SOURCES:
         counts = [r.tokens for r in few]
+        return _bisect(lambda a: entropy_of(counts, a) <= entropy)
+    return _bisect(lambda a: _spread_entropy(shares, a) <= entropy)
 
-        def measure(a):
-            weights = [c**a for c in counts]
-            return sum(-w / sum(weights) * math.log2(w / sum(weights)) for w in weights)
-    else:
-
-        def measure(a):
-            w = F.pow(F.col("tokens").cast("double"), F.lit(a))
-            total, inner = shares.agg(F.sum(w), F.sum(w * F.log2(w))).first()
-            return math.log2(total) - inner / total
 
-    return _bisect(lambda a: measure(a) <= entropy)
+def _spread_entropy(shares: DataFrame, power: float) -> float:
+    """``entropy_of`` for more sources than the driver takes."""
+    w = F.pow(F.col("tokens").cast("double"), F.lit(power))
+    total, inner = shares.agg(F.sum(w), F.sum(w * F.log2(w))).first()
+    return math.log2(total) - inner / total
 
 
 def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_repeats: float = 2.0, entropy: float | None = None, budget: int | None = None, blocks: int = 1024) -> DataFrame:
@@ -66,49 +72,54 @@ def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_
     Tokens are words between ASCII white space.  Without a ``budget`` in tokens the
     largest source is read exactly once and no row is left out; with one, a source
     may get part of an epoch only.  ``position`` is the place of a row's block in
-    the source's permutation, epoch after epoch.  Null sources are one source; a
-    source without a token is read once; a null text has no tokens; rows with a null
-    id are one block; repeated rows are repeated alike.  An empty table gives an
-    empty result, and ``epoch`` and ``position`` replace columns of those names.
+    the source's permutation, epoch after epoch.  ``blocks`` is a power of two up to
+    65,536, so that the keyed affine map of block numbers is a permutation.  Null
+    sources are one source; a source without a token is read once; a null text has no
+    tokens; rows with a null id are one block; repeated rows are repeated alike.  An
+    empty table gives an empty result.  ``epoch`` and ``position`` replace columns of
+    those names; no other column's name matters.
     """
-    df = df.drop("epoch", "position")
-    spark, work = df.sparkSession, Workspace(df.sparkSession, "mixing")
-    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    block = F.coalesce(_hash16(F.col(id_col).cast("string")) % blocks, F.lit(0))
-    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE.replace("[", "[^", 1) + "+"))
-    totals = work.table(df.groupBy(source.alias("_source"), block.alias("_block")).agg(F.sum(tokens.cast("long")).alias("tokens")), "blocks")
-    by_source = totals.groupBy("_source").agg(F.sum("tokens").alias("tokens"))
+    if blocks & (blocks - 1) or not 0 < blocks <= 65536:
+        raise ValueError("blocks must be a power of two up to 65,536")
+    names, work = [c for c in df.columns if c not in ("epoch", "position")], Workspace(df.sparkSession, "mixing")
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("source")
+    block = F.coalesce(_hash16(F.col(id_col).cast("string")) % blocks, F.lit(0)).alias("block")
+    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE.replace("[", "[^", 1) + "+")).cast("long")
+    totals = work.table(df.select(source, block, tokens.alias("tokens")).groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
+    by_source = totals.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     power = exponent(by_source, max_repeats, entropy)
     whole = by_source.agg(F.max("tokens").alias("most"), F.sum(F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(power)))).alias("sum")).first()
-    share = F.col("_total").cast("double")
+    share = F.col("total").cast("double")
     if budget is None:
         epochs = F.pow(F.lit(float(whole.most or 1)) / share, F.lit(1 - power))
     else:
         epochs = F.lit(float(budget)) * F.pow(share, F.lit(power - 1)) / F.lit(whole.sum or 1.0)
-    epochs = F.when(F.col("_total") > 0, epochs).otherwise(F.lit(1.0))
-    rank = ((_hash16("_source").bitwiseOR(F.lit(1)) * F.col("_block") + _hash16("_source", 5)) % blocks).alias("_rank")
-    each, in_order = Window.partitionBy("_source"), Window.partitionBy("_source").orderBy("_rank")
+    epochs = F.when(F.col("total") > 0, epochs).otherwise(F.lit(1.0))
+    rank = ((_hash16("source").bitwiseOR(F.lit(1)) * F.col("block") + _hash16("source", 5)) % blocks).alias("rank")
+    each, in_order = Window.partitionBy("source"), Window.partitionBy("source").orderBy("rank")
+    taken = F.when((F.col("part") > 0) & F.col("fits"), F.col("rank"))
     plan = (
         totals.select("*", rank)
-        .withColumn("_total", F.sum("tokens").over(each))
-        .withColumn("_epochs", epochs)
-        .withColumn("_whole", F.floor(F.col("_epochs") + NEAR).cast("int"))
-        .withColumn("_part", F.greatest(F.col("_epochs") - F.col("_whole"), F.lit(0.0)) * F.col("_total"))
-        .withColumn("_taken", F.sum("tokens").over(in_order) <= F.col("_part"))
+        .withColumn("total", F.sum("tokens").over(each))
+        .withColumn("epochs", epochs)
+        .withColumn("whole", F.floor(F.col("epochs") + NEAR).cast("int"))
+        .withColumn("part", F.greatest(F.col("epochs") - F.col("whole"), F.lit(0.0)) * F.col("total"))
+        .withColumn("fits", F.sum("tokens").over(in_order) <= F.col("part"))
     )
-    cuts = work.table(plan.groupBy("_source").agg(F.first("_whole").alias("_whole"), F.sum(F.when(F.col("_taken") & (F.col("_part") > 0), 1).otherwise(0)).alias("_n"), F.max(F.when(F.col("_taken") & (F.col("_part") > 0), F.col("_rank"))).alias("_cut")), "cuts")
-    rows = df.withColumn("_source", source).withColumn("_block", block).withColumn("_rank", rank)
+    cuts = work.table(plan.groupBy("source").agg(F.first("whole").alias("whole"), F.max(taken).alias("cut")), "cuts")
+    rows = df.select(row, source, block).select("*", rank)
     if cuts.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
-        found = rows.join(F.broadcast(cuts), "_source")
+        found = rows.join(F.broadcast(cuts), "source")
     else:  # more sources than may be broadcast: meet by source and block, so that a large source is spread
-        found = rows.join(totals.select("_source", "_block").join(cuts, "_source"), ["_source", "_block"])
-    copies = F.col("_whole") + F.when(F.col("_rank") <= F.coalesce("_cut", F.lit(-1)), 1).otherwise(0)
+        found = rows.join(totals.select("source", "block").join(cuts, "source"), ["source", "block"])
+    copies = F.col("whole") + F.when(F.col("rank") <= F.coalesce("cut", F.lit(-1)), 1).otherwise(0)
     return (
-        found.withColumn("_copies", copies)
-        .filter("_copies > 0")
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-        .withColumn("position", F.col("epoch").cast("long") * blocks + F.col("_rank"))
-        .select(*df.columns, "epoch", "position")
+        found.withColumn("copies", copies)
+        .filter("copies > 0")
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        .withColumn("position", F.col("epoch").cast("long") * blocks + F.col("rank"))
+        .select(*(F.col(f"row.`{c}`") for c in names), "epoch", "position")
     )
 
 

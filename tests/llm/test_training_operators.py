@@ -51,6 +51,17 @@ def test_exact_dedup(docs):
         assert (r.keep_id, r.group_size, r.text_sha256) == (own[0][3], len(own), hashlib.sha256(text.encode()).hexdigest())
     assert sum(r.kept for r in got) == len(groups)
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0
+    want = sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in got)
+    for runs, fan_in in ((1, 2), (7, 3), (512, 8)):
+        assert sorted(str(tuple(r)) for r in exact_dedup.exact_dedup(docs, runs=runs, fan_in=fan_in, columns=["doc_id"]).collect()) == want
+
+
+def test_no_column_name_is_taken(docs):
+    names = ["row", "run", "range", "digest", "sha", "best", "n", "points", "_run", "_digest", "_sha", "_rank", "_whole", "_n", "_cut", "_source", "_block", "_copies", "tokens", "total"]
+    clash = docs.select("doc_id", "text", "source", *(F.lit(f"own {k}").alias(k) for k in names))
+    for found in (exact_dedup.exact_dedup(clash), mixing.mix(clash), quality.score(clash.withColumn("_text", F.lit("own")), quality.AdditiveModel(0.0), keep=True).drop("_text")):
+        assert found.count() >= docs.count() - 5 and found.filter(" or ".join(f"`{k}` != 'own {k}'" for k in names)).isEmpty()
+    assert set(clash.columns) <= set(exact_dedup.kept_rows(clash).columns)
 
 
 def dict_text(r):
