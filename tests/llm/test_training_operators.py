@@ -178,8 +178,41 @@ def test_token_store(docs):
     assert token_store.token_store(empty(docs)).count() == 0
 
 
-def test_packing(docs):
-    got = packing.pack(docs, size=128, slack=2, fan_in=2).collect()
+def test_ids_beyond_double_precision_beside_a_null_id(spark, tmp_path):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "one two"), (None, "three"), (big + 2, "four")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack(docs).collect()} == {r.doc_id for r in token_store.token_store(docs).collect()} == {big, None, big + 2}
+
+
+def test_a_used_folder_is_refused(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    first = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string")
+    assert token_store.token_store(first, folder=folder).count() == 20
+    with pytest.raises(ValueError, match="token-id files"):
+        token_store.token_store(first.limit(3), folder=folder)
+
+
+def test_best_fit_of_counts_is_best_fit():
+    draw = np.random.default_rng(4)
+    for size, n in ((16, 40), (64, 300), (128, 2000)):
+        fills = draw.integers(1, size, n)
+        counts = {int(f): int(k) for f, k in zip(*np.unique(fills, return_counts=True), strict=True)}
+        find = packing._sequences(packing.best_fit_of_counts(counts, size))
+        numbers = np.zeros(n, np.int64)
+        for f in counts:
+            numbers[fills == f] = np.arange(counts[f])
+        sequence, offset = find(fills.astype(np.int64), numbers)
+        for b in np.unique(sequence):
+            own = np.argsort(offset[sequence == b])
+            sizes = fills[sequence == b][own]
+            assert (offset[sequence == b][own] == np.cumsum(sizes) - sizes).all() and sizes.sum() <= size
+        assert len(np.unique(sequence)) == len(packing.best_fit(fills, size))
+
+
+@pytest.mark.parametrize("options", [{"slack": 2, "fan_in": 2}, {"carry": 1}, {"carry": 0}, {"carry": 3, "fan_in": 2}])
+def test_packing(docs, monkeypatch, options):
+    monkeypatch.setattr(packing, "_LOT", 40)
+    got = packing.pack(docs, size=128, **options).collect()
     pieces = {}
     for i, t in corpus_rows():
         ids = np.array(library_ids(t), "<u4")
@@ -259,6 +292,10 @@ def test_vectors(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i, *_ in rows if i not in ok)
 
 
+def test_no_vectors(spark):
+    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).groupBy("doc_id", "text").count().collect()
     rows = corpus_rows()
