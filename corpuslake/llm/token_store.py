@@ -20,7 +20,7 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,20 +110,28 @@ def read_file(data: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
 def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 1 << 20) -> DataFrame:
     """Encode texts and write token-id files to ``folder`` in ascending id order; return the manifest.
 
-    ``folder`` must be reachable by every executor (any file system pyarrow opens).
-    Parts are ranges of ids; a part writes files of at least ``file_ids`` ids, so a
-    task holds one file's ids and one document.  A file is written under the name
-    of its task attempt and then renamed, so a task that is run again replaces
-    its own files with the same bytes.  Null ids come first; rows with one id are
-    ordered by text.
+    ``folder`` must be reachable by every executor (any file system pyarrow opens)
+    and have no token-id file in it (else ValueError).  Parts are ranges of ids; a part
+    writes files of at least ``file_ids`` ids, so a task holds one file's ids and one
+    document.  A file is written under the name of its task attempt and then renamed;
+    a repeated attempt writes the same bytes and leaves the file that is there.  What
+    a failed attempt leaves is deleted when the part's next attempt ends.  Ids are
+    integers or null; null ids come first, rows with one id are ordered by text.
     """
+    from pyarrow import fs
 
-    def write(batches):
-        from pyarrow import fs
-
-        enc, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+    def opened():
         disk, path = fs.FileSystem.from_uri(folder)
         disk.create_dir(path)
+        return disk, path
+
+    disk, path = opened()
+    if any(f.base_name.endswith(".cltf") for f in disk.get_file_info(fs.FileSelector(path))):
+        raise ValueError(f"there are token-id files in {folder}")
+
+    def write(batches):
+        enc, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+        disk, path = opened()
         task = TaskContext.get()
         part, number, before = task.partitionId(), 0, 0
         keys, raw, size = [], [], 0
@@ -131,35 +139,41 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
         def save():
             nonlocal number, before, keys, raw, size
             name = f"{path}/part-{part:06d}-{number:06d}.cltf"
-            temp = f"{path}/.{task.taskAttemptId()}-{number}"
+            temp = f"{path}/.part-{part:06d}-{number:06d}-{task.taskAttemptId()}"
             with disk.open_output_stream(temp) as out:
                 out.write(file_bytes(part, before, keys, raw))
             if disk.get_file_info(name).type == fs.FileType.NotFound:
                 disk.move(temp, name)
             else:  # another attempt of this task has written the same bytes
                 disk.delete_file(temp)
-            row = (part, number, os.path.basename(name), len(keys), size // 4)
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([os.path.basename(name)]), pa.array([len(keys)]), pa.array([size // 4])], ["part", "number", "file", "n_docs", "n_ids"])
             number, before, keys, raw, size = number + 1, before + size // 4, [], [], 0
-            return pd.DataFrame([row], columns=["part", "number", "file", "n_docs", "n_ids"])
+            return row
 
         for batch in batches:
-            for key, text in zip(batch[id_col].array, batch[text_col], strict=True):
-                keys.append(None if pd.isna(key) else int(key))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(key)
                 raw.append(enc.raw(text) + end)
                 size += len(raw[-1])
                 if size >= 4 * file_ids:
                     yield save()
         if keys:
             yield save()
+        if task.attemptNumber():
+            for left in disk.get_file_info(fs.FileSelector(path)):
+                if left.base_name.startswith(f".part-{part:06d}-"):
+                    disk.delete_file(left.path)
 
-    rows = df.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
-    return rows.mapInPandas(write, "part int, number int, file string, n_docs long, n_ids long")
+    order = [F.col("id").asc_nulls_first(), "text"]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(order[0]).sortWithinPartitions(*order)
+    return rows.mapInArrow(write, "part int, number int, file string, n_docs long, n_ids long")
 
 
 def read_tokens(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document of token-id files: ``doc_id, start, n_tokens, ids_crc32, ids`` (binary), from the files.
+    """Per document of the manifest's token-id files: ``doc_id, start, n_tokens, ids_crc32, ids`` (binary), from the files.
 
     The totals by part, one row for each range of ids, are summed up on the driver.
+    Other files of the folder are not taken.
     """
     totals = sorted((r.part, r.n) for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     bases, total = [], 0
@@ -168,16 +182,21 @@ def read_tokens(spark, folder: str, manifest: DataFrame) -> DataFrame:
         total += n
 
     def read(batches):
+        from pyarrow import fs
+
+        disk, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for data in batch["content"]:
+            for name in batch.column(0).to_pylist():
+                with disk.open_input_file(f"{path}/{name}") as file:
+                    data = file.read()
                 part, before, keys, counts, ids = read_file(data)
                 ends = np.cumsum(counts)
                 raw, view = ids.tobytes(), before + ends - counts
                 cut = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pd.DataFrame({"part": part, "doc_id": pd.array(keys, "Int64"), "place": view, "n_tokens": counts, "ids_crc32": [zlib.crc32(c) for c in cut], "ids": cut})
+                columns = [pa.array(np.full(len(keys), part, np.int32)), pa.array(keys, pa.int64()), pa.array(view), pa.array(counts), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary())]
+                yield pa.record_batch(columns, ["part", "doc_id", "place", "n_tokens", "ids_crc32", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cltf").load(folder).select("content")
-    docs = files.mapInPandas(read, "part int, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
+    docs = manifest.select("file").repartition("file").mapInArrow(read, "part int, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
     base = spark.createDataFrame(bases, "part int, base long")
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("place") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
@@ -186,7 +205,8 @@ def token_store(df: DataFrame, folder: str | None = None, tokenizer: str | None
     """Write the token-id files of ``df`` and read them back.
 
     A null or empty text is the end id alone; an empty table gives no file and an
-    empty result.  Other columns are ignored.
+    empty result.  Ids are integers or null; other columns are ignored, whatever
+    their names.  ``folder`` (default: a new one) must hold no token-id file yet.
     """
     spark, schema = df.sparkSession, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     work = Workspace(spark, "tokens")
