@@ -1,11 +1,10 @@
-"""Near-duplicate vectors by all pairs or by sorted projection passes.
+"""Near-duplicate vectors by sorted projection passes.
 
 Equal vectors of a label are one class throughout.  Hashes are of a class's unit
 vector less the mean of its label, so that a direction that a label's vectors share
 costs no bits.  How many passes a label needs follows from its number of classes and
 how far they lie from the mean: so many that a pair at the threshold that nothing else
-connects is found with probability ``recall``.  Where comparing all pairs is cheaper
-than that, all pairs are compared, block by block, and nothing is missed.
+connects is found with probability ``recall``.
 
 Each pass gives every class a code of concatenated random hyperplane hashes and orders
 the classes of a label by it lexicographically; every vector is compared with its next
@@ -77,14 +76,13 @@ def passes_for(n: int, shared: float, threshold: float, window: int, recall: flo
     return int(min(np.ceil(np.log(1 - recall) / np.log1p(-met)), 1e6)) if met < recall else 1
 
 
-def _plans(threshold: float, passes: int, window: int, recall: float, pairs_per_pass: int):
-    """Sums of a label to its mean and its passes, none where all pairs are compared."""
+def _plans(threshold: float, passes: int, window: int, recall: float):
+    """Sums of a label to its mean and its passes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         n = int(rows["n"].sum())
         mean = sum(np.frombuffer(t, np.float64) for t in rows["total"]) / n
         need = max(passes, passes_for(n, float(np.sqrt(mean @ mean)), threshold, window, recall))
-        need = 0 if n <= pairs_per_pass * need else need
         return pd.DataFrame({"group": rows["group"].iloc[:1], "dim": rows["dim"].iloc[:1], "n": [n], "mean": [mean.tobytes()], "passes": [need]})
 
     return run
@@ -118,22 +116,17 @@ def _forest(ids: np.ndarray, pairs: list):
     return ids[linked], ids[root[linked]]
 
 
-def _pairs(kind: str, threshold: float, step: int = 512):
-    """Rows of one pair of blocks of a label to a spanning forest of their verified pairs."""
+def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the unit vectors of two blocks link; at the threshold as the windows see it."""
+    product = a @ b.T
+    near = product >= threshold
+    i, j = np.nonzero(np.abs(product - threshold) < 1e-9)
+    near[i, j] = _dots(a[i], b[j]) >= threshold
+    return near
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors = rows["id"].to_numpy(), _unit(_stack(rows["vector"], kind))
-        part, pairs = rows["part"].to_numpy(), [[], []]
-        left, right = np.flatnonzero(part == rows["low"].iloc[0]), np.flatnonzero(part == rows["high"].iloc[0])
-        for at in range(0, len(left), step):
-            x, y = np.nonzero(vectors[left[at : at + step]] @ vectors[right].T >= threshold)
-            x, y = left[at + x], right[y]
-            pairs[0].append(x[x != y])
-            pairs[1].append(y[x != y])
-        a, b = _forest(ids, pairs) if pairs[0] else ([], [])
-        return pd.DataFrame({"a": a, "b": b}).astype("int64")
 
-    return run
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
 
 
 def _windows(kind: str, window: int, threshold: float, ends: bool = True):
@@ -151,7 +144,7 @@ def _windows(kind: str, window: int, threshold: float, ends: bool = True):
         for s, e in zip([0, *edge.tolist()], [*edge.tolist(), n], strict=True):
             rows = _unit(_stack(table["vector"].slice(s, e - s), kind))
             for step in range(1, min(window, e - s - 1) + 1):
-                close = np.flatnonzero((group[s : e - step] == group[s + step : e]) & (np.einsum("ij,ij->i", rows[:-step], rows[step:]) >= threshold)) + s
+                close = np.flatnonzero((group[s : e - step] == group[s + step : e]) & (_dots(rows[:-step], rows[step:]) >= threshold)) + s
                 pairs[0].append(close)
                 pairs[1].append(close + step)
         return _forest(ids, pairs) if pairs[0] else (ids[:0], ids[:0])
@@ -188,7 +181,7 @@ def _count(kind: str, threshold: float):
         a, b = _unit(_stack(left["vector"], kind)) if len(left) else np.zeros((0, 1)), _unit(_stack(right["vector"], kind)) if len(right) else np.zeros((0, 1))
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "links": []}).astype("int64")
-        near = (a @ b.T >= threshold).astype(np.int64)
+        near = _close(a, b, threshold).astype(np.int64)
         if rows["low"].iloc[0] == rows["high"].iloc[0]:
             np.fill_diagonal(near, 0)
             return pd.DataFrame({"id": left["id"], "links": near @ left["copies"].to_numpy()})
@@ -197,7 +190,7 @@ def _count(kind: str, threshold: float):
     return run
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = 16, bits: int = 32, window: int = 32, block: int = 2048, seed: int = 7, recall: float = 0.99, pairs_per_pass: int = 4096, pair_block: int = 8192) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = 16, bits: int = 32, window: int = 32, block: int = 2048, seed: int = 7, recall: float = 0.9999, edge_rows: int = 1 << 17) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row.
 
     Rows link when their labels are equal and not null and the cosine, in double
@@ -226,23 +219,22 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     classed = work.table(packed, "classes")
     label = f"group {group_type}, dim int"
     sums = classed.select("group", "dim", "vector").mapInArrow(_sums(kind), f"{label}, n long, total binary")
-    plans = work.table(sums.groupBy("group", "dim").applyInPandas(_plans(threshold, passes, window, recall, pairs_per_pass), f"{label}, n long, mean binary, passes int"), "plans")
+    plans = work.table(sums.groupBy("group", "dim").applyInPandas(_plans(threshold, passes, window, recall), f"{label}, n long, mean binary, passes int"), "plans")
     planned = classed.select("group", "dim", "id", "vector").join(plans, ["group", "dim"])
-    coded = planned.filter("passes > 0").select("group", "dim", "id", "vector", "mean", "passes").mapInArrow(_codes(kind, bits, seed), f"pass int, {label}, code long, id long, vector binary")
+    coded = planned.select("group", "dim", "id", "vector", "mean", "passes").mapInArrow(_codes(kind, bits, seed), f"pass int, {label}, code long, id long, vector binary")
     keys = ["pass", "group", "dim", "code", "id"]
-    in_order = coded.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    swept = work.table(in_order.mapInArrow(_windows(kind, window, threshold), f"a long, b long, pass int, {label}, code long, id long, vector binary"), "swept")
-    edges = swept.filter("vector is not null").select(*keys, "vector").repartition(1).sortWithinPartitions(*keys)
-    across = edges.select("pass", "group", "dim", "code", "id", "vector").mapInArrow(_windows(kind, window, threshold, ends=False), "a long, b long")
-    blocks = F.ceil(F.col("n") / pair_block).cast("int")
-    faced = (
-        planned.filter("passes = 0 and n > 1")
-        .withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("group", "dim", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "vector")
-    )
-    compared = faced.groupBy("group", "dim", "low", "high").applyInPandas(_pairs(kind, threshold), "a long, b long")
-    forest = swept.filter("a is not null").select("a", "b").unionAll(across).unionAll(compared)
+    found = f"a long, b long, pass int, {label}, code long, id long, vector binary"
+    swept = [work.table(coded.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_windows(kind, window, threshold), found), "swept0")]
+    while True:  # the ends of partitions meet, themselves in partitions while they are many
+        edges = swept[-1].filter("vector is not null").select(*keys, "vector")
+        parts = edges.count() // max(edge_rows, 8 * window) + 1
+        met = (edges.repartitionByRange(parts, *keys) if parts > 1 else edges.coalesce(1)).sortWithinPartitions(*keys)
+        swept.append(work.table(met.mapInArrow(_windows(kind, window, threshold, ends=parts > 1), found if parts > 1 else "a long, b long"), f"swept{len(swept)}"))
+        if parts == 1:
+            break
+    forest = swept[0].filter("a is not null").select("a", "b")
+    for more in swept[1:]:
+        forest = forest.unionAll(more.filter("a is not null").select("a", "b"))
     parts = connected_components(forest, work).withColumnRenamed("node", "id")
     members = work.table(classed.join(parts, "id"), "members")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))

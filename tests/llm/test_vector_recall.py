@@ -39,7 +39,19 @@ def test_pairs_of_a_label_with_a_shared_direction(spark):
 
 def test_passes_reach_the_stated_recall(spark):
     rows = _pairs_in(6000, 0.6, 0.94, 300)
-    assert _found(spark, rows, pairs_per_pass=0) >= 594
+    assert _found(spark, rows) >= 594
+
+
+def test_edges_of_many_partitions_meet_in_partitions(spark):
+    rows = _pairs_in(300, 0.0, 0.94, 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert _found(spark, rows, edge_rows=100) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_windows_reach_across_partitions(spark):
@@ -48,7 +60,7 @@ def test_windows_reach_across_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "60")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        assert _found(spark, rows, pairs_per_pass=0, passes=1, recall=0.0, window=300) == 200
+        assert _found(spark, rows, passes=1, recall=0.0, window=300) == 200
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
