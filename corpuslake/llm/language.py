@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.common import append_columns
-from corpuslake.llm.labelled import bounded, held_out, remainder
+from corpuslake.llm.labelled import bounded, held_out, remainder, within
 
 BITS = 16
 SIZE = 1 << BITS
@@ -127,16 +127,20 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
     return np.array([found.get(k, 0) for k in range(SIZE)], np.float64), found.get(-1, 0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 4000) -> LanguageModel:
-    """Weights from at most ``max_rows`` rows outside the hold-out with a language; frequencies from all such rows."""
-    rule = remainder(id_col, 3)
-    learnable = docs.filter((rule != 1) & F.col(lang_col).isNotNull())
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 4000, max_points: int = 1 << 26) -> LanguageModel:
+    """Weights from at most ``max_rows`` rows outside the hold-out with a language, of ``max_points`` code points in all; frequencies from all such rows.
+
+    Beyond ``max_points`` the longest texts of the sample are left out.  Null texts
+    count as empty; repeated rows count each, up to the bounds.
+    """
+    learnable = docs.filter((remainder(id_col, 3) != 1) & F.col(lang_col).isNotNull())
     seen, rows = document_frequencies(learnable, text_col)
     idf = np.log((1 + rows) / (1 + seen)) + 1
-    chosen = bounded(learnable.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")), "_id", max_rows)
-    sample = learnable.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", text_col, F.col(lang_col).cast("string").alias("lang"))
-    got = sorted(sample.collect(), key=lambda r: (hash_order(r["_id"]), r["lang"], r[text_col] or ""))
-    return fit([r[text_col] for r in got], [r["lang"] for r in got], idf)
+    known = learnable.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    chosen = bounded(known.select("_id").filter("_id is not null"), "_id", max_rows).distinct()
+    got = within(known.join(F.broadcast(chosen), "_id"), max_rows, max_points, "lang").collect()
+    got.sort(key=lambda r: (hash_order(r["_id"]), r["lang"], r["text"] or ""))
+    return fit([r["text"] for r in got], [r["lang"] for r in got], idf)
 
 
 def hash_order(key) -> int:

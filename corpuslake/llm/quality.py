@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.common import append_columns
-from corpuslake.llm.labelled import held_out, labelled_texts, remainder
+from corpuslake.llm.labelled import bounded, chosen_labels, held_out, remainder, texts_of
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "unique_words", "short_words", "upper", "digits", "symbols", "top_symbol", "bars",
@@ -179,12 +179,15 @@ def fit(rows: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, b
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> AdditiveModel:
-    """Fit on at most ``max_rows`` labelled rows outside the hold-out; features are made on the executors."""
-    learnable = labels.filter(remainder(id_col, 4) != 2)
-    sample = labelled_texts(docs, learnable, "quality", id_col, text_col, max_rows)
+    """Fit on at most ``max_rows`` labelled rows outside the hold-out; features are made on the executors.
 
+    Null labels and labels without a document are left out, null texts count as
+    empty, and repeated rows count each, up to the bound.
+    """
+    chosen = chosen_labels(labels.filter(remainder(id_col, 4) != 2), "quality", id_col, max_rows)
+    sample = texts_of(docs, chosen, id_col, text_col)
     vectors = append_columns(sample, "text", [T.StructField("x", T.BinaryType())], lambda texts: [[r.tobytes() for r in feature_rows(texts)]], ["_id", "y"])
-    got = sorted(vectors.collect(), key=lambda r: (r["_id"], r["x"]))
+    got = sorted(bounded(vectors, "_id", max_rows, "y", "x").collect(), key=lambda r: (r["_id"], r["x"], r["y"]))
     rows = np.array([np.frombuffer(r["x"]) for r in got]).reshape(-1, len(FEATURES))
     return fit(rows, np.array([float(r["y"] == 1) for r in got]))
 

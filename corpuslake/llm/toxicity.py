@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.common import append_columns
-from corpuslake.llm.labelled import held_out, labelled_texts, remainder
+from corpuslake.llm.labelled import chosen_labels, held_out, remainder, texts_of, within
 
 DECAY, ALPHABET = 0.7, 64
 #: So near to its most telling string in log odds, a toxic document's other strings are witnesses too at the start.
@@ -227,6 +227,8 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4,
         count[w] = count.get(w, 0) + 1
     picks = sorted(count, key=lambda w: (-count[w], w))[: landmarks // 2] + sorted(set(drawn))[:: max(1, len(set(drawn)) // (landmarks // 2))][: landmarks // 2]
     picks = list(dict.fromkeys(picks))
+    if not witness:  # toxic documents without a string that can be told
+        return flat
     row, which, value = _sparse(picks)
     columns = np.unique(which)
     marks = np.zeros((len(picks), len(columns)))
@@ -250,6 +252,8 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4,
         witness, hard = [], sorted(set(hard))
         for k, codes in enumerate(coded):
             starts, sizes, scores = machine.word_scores(codes)
+            if not len(starts):
+                continue
             ranks = np.argsort(-scores, kind="stable")
             chosen = ranks[scores[ranks] >= 0.7 * scores[ranks[0]]] if y[k] and scores[ranks[0]] > 0 else ranks[:1]
             (witness if y[k] else hard).extend(codes[starts[j] : starts[j] + sizes[j]].tobytes() for j in chosen.tolist())
@@ -269,11 +273,17 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4,
     return Machine(machine.weights, machine.bias, float(a), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2000) -> Machine:
-    """Fit on at most ``max_rows`` toxic and as many clean documents outside the hold-out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2000, max_points: int = 1 << 26) -> Machine:
+    """Fit on at most ``max_rows`` toxic and as many clean documents outside the hold-out, of ``max_points`` code points in all.
+
+    Beyond ``max_points`` the longest texts of the sample are left out.  Null labels
+    and labels without a document are left out; null, empty and blank texts are
+    documents without strings; repeated rows count each, up to the bounds.
+    """
     learnable = labels.filter(remainder(id_col, 5) != 0)
-    both = [labelled_texts(docs, learnable.filter(F.col("toxic") == k), "toxic", id_col, text_col, max_rows) for k in (0, 1)]
-    got = sorted(both[0].unionByName(both[1]).collect(), key=lambda r: (r["_id"], r["y"], r["text"] or ""))
+    chosen = [chosen_labels(learnable.filter(F.col("toxic") == k), "toxic", id_col, max_rows) for k in (0, 1)]
+    sample = within(texts_of(docs, chosen[0].unionByName(chosen[1]), id_col, text_col), 2 * max_rows, max_points, "y")
+    got = sorted(sample.collect(), key=lambda r: (r["_id"], r["y"], r["text"] or ""))
     return fit([r["text"] for r in got], np.array([float(r["y"]) for r in got]))
 
 
