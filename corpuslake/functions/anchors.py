@@ -65,6 +65,50 @@ def flatten_anchor(anchor: str = "anchor") -> list[Column]:
     return [v.alias(n) for v, n in zip(values, FLAT, strict=True)]
 
 
+def int_at(value: Column, path: str) -> Column:
+    """The integer at a path of a variant: fractions are cut off, truth values and texts are no number."""
+    found = F.try_variant_get(value, path, "variant")
+    kind = F.schema_of_variant(found)
+    number = F.try_variant_get(value, path, "double")
+    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
+    return F.when(kind == "BIGINT", F.try_variant_get(value, path, "bigint")).when(kind.isin("DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), whole.cast("long"))
+
+
+def uuid_at(value: Column, path: str) -> Column:
+    """An id at a path of a variant: a text, or the ``value`` of an object."""
+
+    def text(p: str) -> Column:
+        return F.when(F.schema_of_variant(F.try_variant_get(value, p, "variant")) == "STRING", F.try_variant_get(value, p, "string"))
+
+    return F.coalesce(text(path), text(f"{path}.value"))
+
+
+def anchor_of(value: Column | str) -> Column:
+    """An ``ANCHOR`` struct from its JSON text, as it is sent: an object with one field for each variant.
+
+    Numbers are read as ``int_at`` reads them; what is not such an object is an anchor
+    without a variant.
+    """
+    v = F.try_parse_json(F.col(value) if isinstance(value, str) else value)
+
+    def there(path: str, kind: T.DataType, struct: Column) -> Column:
+        is_object = F.startswith(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("OBJECT"))
+        return F.when(F.coalesce(is_object, F.lit(False)), struct).cast(kind)
+
+    def build(path: str, kind: T.DataType) -> Column:
+        if kind == UUID:
+            return F.when(uuid_at(v, path).isNotNull(), F.struct(uuid_at(v, path).alias("value"))).cast(UUID)
+        if isinstance(kind, T.StructType):
+            return there(path, kind, F.struct(*(build(f"{path}.{f.name}", f.dataType).alias(f.name) for f in kind)))
+        if isinstance(kind, T.LongType):
+            return int_at(v, path)
+        if isinstance(kind, T.ArrayType):
+            return F.try_variant_get(v, path, kind.simpleString())
+        return F.try_variant_get(v, path, "string")
+
+    return F.struct(*(build(f"$.{f.name}", f.dataType).alias(f.name) for f in ANCHOR))
+
+
 def anchor_tokens(anchor: str = "anchor") -> Column:
     """Token indexes an anchor refers to, or null."""
     one = F.col(f"{anchor}.tokenRef.tokenIndex")

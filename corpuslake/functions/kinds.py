@@ -1,4 +1,8 @@
-"""Record kinds: fixed tables by the last two segments of a collection name."""
+"""Record kinds: fixed tables by the last two segments of a collection name.
+
+Without a namespace those two segments decide, whatever stands before them; with one
+(the authority part that all record kinds share) collections of other namespaces have no kind.
+"""
 
 from __future__ import annotations
 
@@ -35,28 +39,15 @@ DATASET_KINDS = (
 )
 # Names of fields whose change breaks a record's identity.
 IDENTITY_FIELDS = ("id", "localId", "local_id", "rkey", "uuid", "tokenizationId")
-# Headings and fields of a record's summary; "#x" counts x, "~x" shortens a uri, "x:60" cuts at 60 characters.
-SUMMARIES = {
-    "corpus.corpus": (("Name", "name"), ("Domain", "domain"), ("#Expr", "expressionCount")),
-    "expression.expression": (("Id", "id"), ("Kind", "kind"), ("Text", "text:60")),
-    "annotation.annotationLayer": (("Kind", "kind"), ("Subkind", "subkind"), ("Expression", "~expression")),
-    "ontology.ontology": (("Name", "name"), ("Domain", "domain"), ("Version", "version")),
-    "ontology.typeDef": (("Name", "name"), ("Type kind", "typeKind"), ("Ontology", "~ontologyRef")),
-    "resource.collection": (("Name", "name"), ("Kind", "kind"), ("Version", "version")),
-    "resource.entry": (("Form", "form"), ("#Components", "#components")),
-    "judgment.experimentDef": (("Name", "name"), ("Measure", "measureType"), ("Task", "taskType")),
-    "judgment.judgmentSet": (("Experiment", "~experimentRef"), ("#Judgments", "#judgments")),
-    "judgment.agreementReport": (("Metric", "metric"), ("Value", "value"), ("#Annotators", "numAnnotators")),
-    "graph.graphEdgeSet": (("Edge type", "edgeType"), ("#Edges", "#edges")),
-    "media.media": (("Kind", "kind"), ("Title", "title")),
-    "persona.persona": (("Name", "name"), ("Domain", "domain"), ("Kind", "kind")),
-    "eprint.eprint": (("Identifier", "eprintIdentifier"), ("Link type", "linkType")),
-}
 
 
-def kind_of(nsid: Column | str) -> Column:
-    """The last two segments of a collection name."""
-    parts = F.split(F.col(nsid) if isinstance(nsid, str) else nsid, r"\.")
+def kind_of(nsid: Column | str, namespace: str | None = None) -> Column:
+    """The last two segments of a collection name; with a ``namespace``, null for names of other ones."""
+    name = F.col(nsid) if isinstance(nsid, str) else nsid
+    if namespace is not None:
+        own = F.when(F.startswith(name, F.lit(f"{namespace}.")), F.substring(name, len(namespace) + 2, 1 << 20))
+        return F.when(F.size(F.split(own, r"\.")) == 2, own)
+    parts = F.split(name, r"\.")
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")
 
 
@@ -67,13 +58,13 @@ def _lookup(key: Column, table: dict, default) -> Column:
     return found
 
 
-def tier_of(nsid: Column | str) -> Column:
-    return _lookup(kind_of(nsid), {k: t for t, kinds in TIERS.items() for k in kinds}, 3)
+def tier_of(nsid: Column | str, namespace: str | None = None) -> Column:
+    return _lookup(kind_of(nsid, namespace), {k: t for t, kinds in TIERS.items() for k in kinds}, 3)
 
 
-def section_of(nsid: Column | str) -> Column:
-    return _lookup(F.split(kind_of(nsid), r"\.")[0], SECTIONS, "other")
+def section_of(nsid: Column | str, namespace: str | None = None) -> Column:
+    return _lookup(F.split(kind_of(nsid, namespace), r"\.")[0], SECTIONS, "other")
 
 
-def display_rank(nsid: Column | str) -> Column:
-    return _lookup(kind_of(nsid), {k: n for n, k in enumerate(KINDS)}, len(KINDS))
+def display_rank(nsid: Column | str, namespace: str | None = None) -> Column:
+    return _lookup(kind_of(nsid, namespace), {k: n for n, k in enumerate(KINDS)}, len(KINDS))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,41 +80,102 @@ def syntax_grid(words: DataFrame, tags: DataFrame, headings: list[str], relation
     return grid.select("sentence", "token_index", "form", *[F.coalesce(F.nullif(h, F.lit("")), F.lit("_")).alias(h) for h in order])
 
 
-def dependency_tree(relations: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """``sentence, token_index, depth, path``: nodes below their roots; ordering by path gives a depth-first walk.
-
-    Roots have a head below 0, their own index or one that does not exist.  Levels
-    are joined one by one, each one's lineage cut, so their rows have no limit.
+def tree_walk(sentence: np.ndarray, token: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Depth and place in a depth-first walk of the nodes of whole sentences, sorted by sentence number and token; depth -1 is below no root."""
+    n = len(sentence)
+    depth, place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    if not n:
+        return depth, place
+    first = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+    size = np.diff(np.append(first, n))[np.cumsum(np.append(True, sentence[1:] != sentence[:-1])) - 1]
+    wide = int(max(token.max(), head.max(), 0)) + 2
+    rank = np.cumsum(np.append(True, sentence[1:] != sentence[:-1])) - 1
+    own = rank * wide + token
+    root = (head < 0) | (head == token) | (head >= size)
+    sought = np.where(root, -1, rank * wide + head)
+    at = np.minimum(np.searchsorted(own, sought), n - 1)
+    parent = np.where(~root & (own[at] == sought), at, -1)
+    parent[root] = n
+    by_parent = np.argsort(parent, kind="stable")
+    sorted_parents = parent[by_parent]
+
+    def below(nodes):
+        a, b = np.searchsorted(sorted_parents, nodes), np.searchsorted(sorted_parents, nodes, side="right")
+        count = b - a
+        return by_parent[np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+    levels = [np.flatnonzero(root)]
+    while len(levels[-1]):
+        depth[levels[-1]] = len(levels) - 1
+        levels.append(below(levels[-1]))
+    weight = np.ones(n, np.int64)
+    for nodes in reversed(levels[1:]):
+        np.add.at(weight, parent[nodes], weight[nodes])
+    for k, nodes in enumerate(levels):
+        if not len(nodes):
+            break
+        group = rank[nodes] if k == 0 else parent[nodes]
+        before = np.cumsum(weight[nodes]) - weight[nodes]
+        starts = np.append(True, group[1:] != group[:-1])
+        place[nodes] = before - before[np.flatnonzero(starts)][np.cumsum(starts) - 1] + (0 if k == 0 else place[parent[nodes]] + 1)
+    return depth, place
+
+
+def dependency_tree(relations: DataFrame) -> DataFrame:
+    """``sentence, token_index, depth, place``: nodes below their roots; ordering by place gives a depth-first walk.
+
+    Roots have a head below 0, their own index or one beyond the sentence; what leads
+    to no root is left out.  One exchange brings a sentence together, and sorted
+    sentences are walked a batch at a time, so neither depth nor rows have a limit.
     """
-    cut = lineage_cut(relations.sparkSession)
-    sized = cut(relations.select("sentence", "token_index", "head", F.count(F.lit(1)).over(Window.partitionBy("sentence")).alias("n")))
-    place = F.lpad(F.col("token_index").cast("string"), 6, "0")
-    root = F.expr("head < 0 OR head = token_index OR head >= n")
-    below = sized.filter(~root).select("sentence", "head", "token_index", place.alias("place"))
-    level = sized.filter(root).select("sentence", "token_index", F.lit(0).alias("depth"), place.alias("path"))
-    levels = [level]
-    while True:
-        above = level.select("sentence", F.col("token_index").alias("head"), "depth", "path")
-        level = cut(below.join(above, ["sentence", "head"]).select("sentence", "token_index", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "place").alias("path")))
-        if level.isEmpty():
-            return reduce(DataFrame.unionAll, levels)
-        if len(levels) > max_depth:
-            raise ValueError(f"nodes more than {max_depth} levels below their root")
-        levels.append(level)
+    kind = relations.schema["sentence"].dataType.simpleString()
+
+    def walk(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            last = held.column(0)[-1].as_py()
+            ends = np.flatnonzero(np.asarray(pa.compute.not_equal(held.column(0), pa.scalar(last, held.schema.field(0).type))))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:
+                yield from placed(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield from placed(held)
+
+    def placed(table):
+        names = table.column(0).combine_chunks()
+        codes = names.dictionary_encode().indices.to_numpy()
+        token, head = table.column(1).to_numpy(), table.column(2).to_numpy()
+        depth, place = tree_walk(codes, token, head)
+        found = np.flatnonzero(depth >= 0)
+        yield pa.record_batch([names.take(pa.array(found)), pa.array(token[found]), pa.array(depth[found].astype(np.int32)), pa.array(place[found])], ["sentence", "token_index", "depth", "place"])
+
+    rows = relations.filter("sentence is not null").select("sentence", F.col("token_index").cast("long"), F.coalesce(F.col("head"), F.lit(-1)).cast("long").alias("head"))
+    dealt = rows.repartition("sentence").sortWithinPartitions("sentence", "token_index")
+    return dealt.mapInArrow(walk, f"sentence {kind}, token_index long, depth int, place long")
 
 
 def descendant_texts(expressions: DataFrame, order: str = "ord") -> DataFrame:
-    """``uri, texts`` of roots: a root's own text, or those nearest below it in order, two line ends between."""
-    spark = expressions.sparkSession
-    expressions.select("uri", "parentRef", F.nullif("text", F.lit("")).alias("text"), F.col(order).alias("o")).createOrReplaceTempView("_expressions")
-    found = spark.sql("""
-      WITH RECURSIVE walk(root, uri, text, path) MAX RECURSION LEVEL 100 AS (
-        SELECT uri, uri, text, lpad(cast(o AS string), 12, '0') FROM _expressions WHERE parentRef IS NULL
-        UNION ALL
-        SELECT w.root, e.uri, e.text, concat(w.path, '/', lpad(cast(e.o AS string), 12, '0')) FROM walk w JOIN _expressions e ON e.parentRef = w.uri WHERE w.text IS NULL
-      ) SELECT * FROM walk WHERE text IS NOT NULL""")
+    """``uri, texts`` of roots: a root's own text, or those nearest below it in order, two line ends between.
+
+    Levels are joined one by one, each one's lineage cut, until none is left without a text.
+    """
+    cut = lineage_cut(expressions.sparkSession)
+    nodes = expressions.select("uri", "parentRef", F.nullif("text", F.lit("")).alias("text"), F.col(order).cast("long").alias("o"))
+    level = cut(nodes.filter("parentRef is null").select(F.col("uri").alias("root"), "uri", "text", F.array("o").alias("path")))
+    below = nodes.filter("parentRef is not null")
+    found = [level.filter("text is not null")]
+    while True:
+        open_ = level.filter("text is null").select("root", F.col("uri").alias("parentRef"), "path")
+        level = cut(below.join(open_, "parentRef").select("root", "uri", "text", F.concat("path", F.array("o")).alias("path")))
+        if level.isEmpty():
+            break
+        found.append(level.filter("text is not null"))
+    rows = reduce(DataFrame.unionAll, found)
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n\n")
-    return found.groupBy(F.col("root").alias("uri")).agg(texts.alias("texts"))
+    return rows.groupBy(F.col("root").alias("uri")).agg(texts.alias("texts"))
 
 
 def lanes(spans: DataFrame, key: str) -> DataFrame:
@@ -120,8 +184,6 @@ def lanes(spans: DataFrame, key: str) -> DataFrame:
     Packing depends on what came before, so a key's spans are taken in order; keys
     are independent, and sorted partitions are streamed with one key in memory.
     """
-    import pyarrow as pa
-
     def place(taken: list[list[tuple[int, int]]], lo: int, hi: int) -> int:
         for k, own in enumerate(taken):
             if all(hi <= a or lo >= b for a, b in own):
@@ -218,26 +280,43 @@ def item_index(judgments: DataFrame) -> DataFrame:
 
 
 def ordinal_histogram(values: DataFrame, group: str, value: str, low: int | None = None, high: int | None = None) -> DataFrame:
-    """Counts of every level of each group's scale, declared bounds widened by the data, with mean and averaged median."""
-    stats = values.groupBy(group).agg(F.least(F.min(value), F.lit(low)).cast("long").alias("_lo"), F.greatest(F.max(value), F.lit(high)).cast("long").alias("_hi"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    """Counts of every level of each group's scale, declared bounds widened by the data, with mean and averaged median.
+
+    Everything is told by the counts of the levels that occur, which are made before
+    anything is exchanged.
+    """
+    counts = values.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    total, upto = F.sum("n").over(Window.partitionBy(group)), F.sum("n").over(Window.partitionBy(group).orderBy("level"))
+    placed = counts.withColumn("_total", total).withColumn("_upto", upto)
+    middle = [F.min(F.when(F.col("_upto") >= F.floor((F.col("_total") + k) / 2), F.col("level"))) for k in (1, 2)]
+    stats = placed.groupBy(group).agg(
+        F.least(F.min("level"), F.lit(low)).cast("long").alias("_lo"), F.greatest(F.max("level"), F.lit(high)).cast("long").alias("_hi"),
+        (F.sum(F.col("level") * F.col("n")) / F.sum("n")).alias("mean"), ((middle[0] + middle[1]) / 2).alias("median"),
+    )
     levels = stats.select(group, "mean", "median", F.explode(F.sequence("_lo", "_hi")).alias("level"))
-    counts = values.groupBy(group, F.col(value).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     return levels.join(counts, [group, "level"], "left").select(group, "level", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median")
 
 
 def magnitude_summary(values: DataFrame, group: str, value: str) -> DataFrame:
-    """Geometric mean of positive values (else the mean), upper median and range."""
-    v = F.col(value).cast("double")
-    upper = F.element_at(F.array_sort(F.collect_list(v)), (F.floor(F.count(v) / 2) + 1).cast("int"))
-    mean = F.when(F.min(v) > 0, F.exp(F.avg(F.when(v > 0, F.ln(v))))).otherwise(F.avg(v))
-    return values.groupBy(group).agg(F.count(v).alias("n"), mean.alias("center"), upper.alias("upper_median"), F.min(v).alias("low"), F.max(v).alias("high"))
+    """Geometric mean of the positive values (the mean where none is), upper median and range.
+
+    The median is found among the counted values of a group, in one sorted pass.
+    """
+    counts = values.select(group, F.col(value).cast("double").alias("_v")).filter("_v is not null").groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    total, upto = F.sum("_n").over(Window.partitionBy(group)), F.sum("_n").over(Window.partitionBy(group).orderBy("_v"))
+    placed = counts.withColumn("_total", total).withColumn("_upto", upto)
+    v, n, positive = F.col("_v"), F.col("_n"), F.when(F.col("_v") > 0, F.col("_n"))
+    center = F.coalesce(F.exp(F.sum(F.ln(v) * positive) / F.sum(positive)), F.sum(v * n) / F.sum(n))
+    upper = F.min(F.when(F.col("_upto") > F.floor(F.col("_total") / 2), v))
+    return placed.groupBy(group).agg(F.sum(n).alias("n"), center.alias("center"), upper.alias("upper_median"), F.min(v).alias("low"), F.max(v).alias("high"))
 
 
 def magnitude_bins(values: DataFrame, group: str, value: str, bins: int = BINS) -> DataFrame:
+    """Counts by bin: a value's share of the range in steps of one less than ``bins``, so that only the greatest is in the last; a range of nothing counts as one."""
     ends = values.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    place = F.when(span > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / span * bins))).otherwise(0)
-    return values.join(ends, group).groupBy(group, place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    span = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(F.col("_hi") - F.col("_lo"))
+    place = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / span * (bins - 1)))
+    return values.filter(F.col(value).isNotNull()).join(ends, group).groupBy(group, place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def categorical(values: DataFrame, group: str, value: str, order: str | None = None) -> DataFrame:
@@ -284,6 +363,53 @@ def bar(value: float, top: float, width: int = 30) -> str:
     return "█" * (round(value / top * width) if top else 0)
 
 
+def interlinear(words: DataFrame, tags: DataFrame, headings: list[str], key: str = "expression", width: int = 78) -> DataFrame:
+    """``key, strip, token_index, row, heading, cell, cell_width``: words over their tags, in strips that fit a line.
+
+    ``words`` has ``key, token_index, surface``, ``tags`` ``key, token_index, heading, tag``.
+    A strip takes words while their widths and a blank each fit beside the headings, one
+    at least.  That depends on the strips before, so a key's words are walked in order.
+    """
+    names = ["word", *headings]
+    label_width = max(map(len, names))
+    wide = tags.groupBy(key, "token_index").pivot("heading", headings).agg(F.first("tag")) if headings else tags.select(key, "token_index").limit(0)
+    cells = [F.coalesce(F.nullif("surface", F.lit("")), F.lit("_")), *(F.coalesce(F.col(f"`{h}`"), F.lit("")) for h in headings)]
+    rows = words.join(wide, [key, "token_index"], "left").select(key, F.col("token_index").cast("long").alias("token_index"), F.array(*cells).alias("cells")).withColumn("w", F.array_max(F.transform("cells", F.length)))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def cut(batches):
+        current, strip, used = None, 0, 0
+        for batch in batches:
+            strips = []
+            for name, w in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if (name,) != current:
+                    current, strip, used = (name,), 0, label_width + 2
+                elif used + w + 1 > width:
+                    strip, used = strip + 1, label_width + 2
+                used += w + 1
+                strips.append(strip)
+            yield pa.record_batch([*batch.columns, pa.array(strips, pa.int64())], [key, "token_index", "cells", "w", "strip"])
+
+    placed = rows.repartition(key).sortWithinPartitions(key, "token_index").mapInArrow(cut, f"{key} {kind}, token_index long, cells array<string>, w int, strip long")
+    each = F.posexplode(F.arrays_zip(F.array(*map(F.lit, names)).alias("heading"), F.col("cells").alias("cell"))).alias("row", "c")
+    return placed.select(key, "strip", "token_index", "w", each).select(key, "strip", "token_index", "row", "c.heading", "c.cell", F.col("w").alias("cell_width"))
+
+
+def interlinear_lines(strips: DataFrame, key: str = "expression") -> DataFrame:
+    """``key, strip, row, line``: the strips of ``interlinear`` as text, cells padded to their column."""
+    width = F.max(F.length("heading")).over(Window.partitionBy(key))
+    cell = F.struct("token_index", F.rpad("cell", F.col("cell_width"), F.lit(" ")).alias("text"))
+    lines = strips.withColumn("_h", F.rpad("heading", width, F.lit(" "))).groupBy(key, "strip", "row", "_h").agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+    return lines.select(key, "strip", "row", F.rtrim(F.concat_ws("  ", F.array(F.col("_h")), F.transform("_c", lambda x: x["text"]))).alias("line"))
+
+
+def segmentation_table(segmentations: DataFrame) -> DataFrame:
+    """``uri, tokenization, kind, token_index, surface, byte_start, byte_end`` of every token of segmentations."""
+    each = segmentations.select("uri", F.posexplode("tokenizations").alias("tokenization", "t"))
+    tokens = each.select("uri", "tokenization", F.col("t.kind").alias("kind"), F.explode("t.tokens").alias("k"))
+    return tokens.select("uri", "tokenization", "kind", F.col("k.tokenIndex").alias("token_index"), truncate(F.coalesce("k.text", F.lit("")), 16).alias("surface"), F.col("k.textSpan.byteStart").alias("byte_start"), F.col("k.textSpan.byteEnd").alias("byte_end"))
+
+
 def layers_roster(layers: DataFrame) -> DataFrame:
     return layers.select("expression", "uri", "kind", "subkind", F.coalesce(F.size("annotations"), F.lit(0)).alias("n_annotations"))
 

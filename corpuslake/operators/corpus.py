@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.kinds import SUMMARIES, display_rank, kind_of
-from corpuslake.functions.uri import nsid_of, short_uri, truncate
+from corpuslake.functions.kinds import KINDS, display_rank, kind_of
+from corpuslake.functions.uri import authority_of, nsid_of, short_uri, truncate
+from corpuslake.operators.flatten import annotations_view, expressions_view, materialize
 
 
 def latest(records: DataFrame, key: str = "uri", order: str = "ord") -> DataFrame:
@@ -66,9 +67,11 @@ def with_media(expressions: DataFrame, media: DataFrame, fields: list[str]) -> D
 
 def references(records: DataFrame, value: str = "value") -> DataFrame:
     """``src, dst, ref_ord``: record uris in string values anywhere in a record, first seen first, without its own."""
-    keys_out = F.regexp_replace(F.col(value), r'"(at://[^"\\]*)"\s*:', '"":')
-    found = F.array_distinct(F.regexp_extract_all(keys_out, F.lit(r'"(at://[^"\\]*)"'), F.lit(1)))
-    return records.select(F.col("uri").alias("src"), F.posexplode(found).alias("ref_ord", "dst")).filter("src != dst").select("src", "dst", F.col("ref_ord").cast("long").alias("ref_ord"))
+    quoted = r'"(at://(?:[^"\\]|\\.)*)"'
+    keys_out = F.regexp_replace(F.col(value), quoted + r"\s*:", '"":')
+    found = F.regexp_extract_all(keys_out, F.lit(quoted), F.lit(1))
+    plain = F.transform(found, lambda x: F.when(F.contains(x, F.lit("\\")), F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>")[0]).otherwise(x))
+    return records.select(F.col("uri").alias("src"), F.posexplode(F.array_distinct(plain)).alias("ref_ord", "dst")).filter("src != dst").select("src", "dst", F.col("ref_ord").cast("long").alias("ref_ord"))
 
 
 def backrefs(edges: DataFrame, target: str) -> DataFrame:
@@ -76,10 +79,16 @@ def backrefs(edges: DataFrame, target: str) -> DataFrame:
 
 
 def lineage_cut(spark):
-    """``checkpoint()`` to the folder that the cluster shares, if one is set, else ``cache()``."""
-    if spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return lambda df: df.checkpoint()
-    return lambda df: df.cache()
+    """``checkpoint()`` to the folder that the cluster shares, as set in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a folder of its machine and a cluster one
+    beside its warehouse.
+    """
+    context = spark.sparkContext
+    if not (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+        local = context.master.split("[")[0] == "local"
+        context.setCheckpointDir("file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return lambda df: df.checkpoint()
 
 
 def closure(spark, edges: DataFrame, seeds: DataFrame, known: DataFrame, depth: int | None = None, work=None) -> DataFrame:
@@ -101,9 +110,9 @@ def closure(spark, edges: DataFrame, seeds: DataFrame, known: DataFrame, depth:
         reached, level = cut(reached.unionAll(frontier)), level + 1
 
 
-def type_counts(records: DataFrame, nsid: str = "nsid") -> DataFrame:
+def type_counts(records: DataFrame, nsid: str = "nsid", namespace: str | None = None) -> DataFrame:
     """Records by collection: known kinds in display order, then others by name."""
-    return records.groupBy(nsid).agg(F.count(F.lit(1)).alias("n")).orderBy(display_rank(nsid), nsid)
+    return records.groupBy(nsid).agg(F.count(F.lit(1)).alias("n")).orderBy(display_rank(nsid, namespace), nsid)
 
 
 def inspect_counts(records: DataFrame, nsid: str = "nsid") -> DataFrame:
@@ -121,25 +130,57 @@ def by_nsid(records: DataFrame) -> DataFrame:
     return records.groupBy(nsid_of("uri").alias("nsid")).agg(F.sort_array(F.collect_list("uri")).alias("uris"))
 
 
-def summarize(records: DataFrame, value: str = "value") -> DataFrame:
+def summarize(records: DataFrame, value: str = "value", namespace: str | None = None) -> DataFrame:
     """``uri, nsid, cells``: one to three cells told by the kind, else the name, id, title or short uri."""
-    get = lambda path: F.coalesce(F.get_json_object(F.col(value), f"$.{path}"), F.lit(""))
-
-    def cell(field: str):
-        if field[0] == "#":
-            return F.coalesce(F.json_array_length(F.get_json_object(F.col(value), f"$.{field[1:]}")), F.lit(0)).cast("string")
-        if field[0] == "~":
-            return short_uri(get(field[1:]))
-        name, _, width = field.partition(":")
-        return truncate(get(name), int(width)) if width else get(name)
-
-    default = F.array(F.coalesce(*[F.nullif(get(n), F.lit("")) for n in ("name", "id", "title")], short_uri("uri")))
-    cells = default
-    for kind, columns in SUMMARIES.items():
-        cells = F.when(kind_of("nsid") == kind, F.array(*[cell(f) for _, f in columns])).otherwise(cells)
+
+    def get(field: str):
+        return F.coalesce(F.get_json_object(F.col(value), f"$.{field}"), F.lit(""))
+
+    def short(field: str):
+        return short_uri(get(field))
+
+    def count(field: str):
+        return F.coalesce(F.json_array_length(F.get_json_object(F.col(value), f"$.{field}")), F.lit(0)).cast("string")
+
+    by_kind = {
+        "corpus.corpus": (get("name"), get("domain"), get("expressionCount")),
+        "expression.expression": (get("id"), get("kind"), truncate(get("text"), 60)),
+        "annotation.annotationLayer": (get("kind"), get("subkind"), short("expression")),
+        "ontology.ontology": (get("name"), get("domain"), get("version")),
+        "ontology.typeDef": (get("name"), get("typeKind"), short("ontologyRef")),
+        "resource.collection": (get("name"), get("kind"), get("version")),
+        "resource.entry": (get("form"), count("components")),
+        "judgment.experimentDef": (get("name"), get("measureType"), get("taskType")),
+        "judgment.judgmentSet": (short("experimentRef"), count("judgments")),
+        "judgment.agreementReport": (get("metric"), get("value"), get("numAnnotators")),
+        "graph.graphEdgeSet": (get("edgeType"), count("edges")),
+        "media.media": (get("kind"), get("title")),
+        "persona.persona": (get("name"), get("domain"), get("kind")),
+        "eprint.eprint": (get("eprintIdentifier"), get("linkType")),
+    }
+    name = F.coalesce(*(F.nullif(get(f), F.lit("")) for f in ("name", "id", "title")), short_uri("uri"))
+    cells = F.array(name)
+    for kind, own in by_kind.items():
+        cells = F.when(kind_of("nsid", namespace) == kind, F.array(*own)).otherwise(cells)
     return records.select("uri", "nsid", cells.alias("cells"))
 
 
+def load(records: DataFrame, uri: str, follow: bool = True, namespace: str | None = None, decodable=None) -> DataFrame:
+    """The records of a corpus: all of its authority's, and what they refer to, over authorities and any number of steps.
+
+    ``records`` has ``uri, value`` (JSON), as ``read_dump`` gives them.  Only record
+    kinds are taken, each uri once; a reference to nothing, and a record that cannot be
+    read as a JSON object or that the condition ``decodable`` turns down, is passed over.
+    """
+    readable = F.coalesce(F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull(), F.lit(False))
+    own = records.filter(kind_of(nsid_of("uri"), namespace).isin(*KINDS) & readable & (F.lit(True) if decodable is None else decodable))
+    own = own.groupBy("uri").agg(F.max("value").alias("value"))
+    seeds = own.filter(authority_of("uri") == F.lit(uri.removeprefix("at://").split("/")[0]))
+    if not follow:
+        return seeds
+    return own.join(closure(records.sparkSession, references(own), seeds, own.select("uri")), "uri", "left_semi")
+
+
 def numbered(df: DataFrame, *order, name: str = "row_no", partition: list[str] | None = None) -> DataFrame:
     """Rows numbered from 0 within a partition."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*order)).cast("long") - 1)
@@ -175,5 +216,34 @@ class Corpus:
     def with_media(self, fields: list[str]) -> DataFrame:
         return with_media(self.expressions(), self.tables["media"], fields)
 
+    def segmentations(self) -> DataFrame:
+        return self.tables["segmentations"]
+
+    def media(self) -> DataFrame:
+        return self.tables["media"]
+
+    def memberships(self) -> DataFrame:
+        """Memberships of this corpus; all of them where it has no uri."""
+        rows = self.tables["memberships"]
+        return rows if self.uri is None else rows.filter(F.col("corpusRef") == self.uri)
+
+    def corpus_record(self) -> DataFrame:
+        """The corpus's own record: by its uri, else the first there is."""
+        rows = self.tables["corpora"]
+        return rows.orderBy("uri").limit(1) if self.uri is None else rows.filter(F.col("uri") == self.uri)
+
     def record(self, table: str, uri: str) -> DataFrame:
         return self.tables[table].filter(F.col("uri") == uri)
+
+    def materialize(self, folder: str) -> list[str]:
+        """Write the views: member expressions, and the annotations of all layers, of whatever corpus."""
+        return materialize({"expressions": expressions_view(self.expressions()), "annotations": annotations_view(self.tables["layers"])}, folder)
+
+    def save(self, store, message: str = "materialize corpus snapshot") -> str:
+        """Commit every record of the tables to a version store, in JSON under its uri; the name of the commit."""
+        parts = []
+        for name in sorted(self.tables):
+            fields = [c for c in self.tables[name].columns if c not in ("uri", "ord")]
+            parts.append(self.tables[name].filter("uri is not null").select("uri", F.to_json(F.struct(*fields)).alias("value")))
+        rows = reduce(DataFrame.unionAll, parts).select("uri", "value", F.lit(False).alias("is_tombstone"), F.monotonically_increasing_id().alias("ord"))
+        return store.commit(rows, message)

@@ -82,6 +82,24 @@ def views_by_kind(records: DataFrame, nsids: list[str], schemas: dict[str, T.Str
     return views
 
 
+def materialize_records(records: DataFrame, folder: str, schemas: dict[str, T.StructType], expressions: str, layers: str) -> list[str]:
+    """All views of a record table ``uri, value`` (JSON): expressions, exploded annotations, and one for each other collection.
+
+    ``schemas`` are by collection name; ``expressions`` and ``layers`` name the two
+    collections that have views of their own.  Records that cannot be read with their
+    schema are left out, and views without rows are not written.
+    """
+    views = {}
+    for nsid, schema in schemas.items():
+        wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+        read = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        rows = records.filter(nsid_of("uri") == nsid).select("uri", read.alias("r")).filter("r is not null and r._bad is null").select("uri", *(F.col(f"r.{f.name}") for f in schema))
+        view = annotations_view(rows) if nsid == layers else expressions_view(rows) if nsid == expressions else records_view(rows)
+        if not rows.isEmpty():
+            views[{expressions: "expressions", layers: "annotations"}.get(nsid, nsid.replace(".", "_"))] = view
+    return materialize(views, folder)
+
+
 # Dtype names of scalar types.
 DTYPES = {"string": "string", "bigint": "int64", "int": "int64", "boolean": "bool", "double": "float64", "float": "float64", "binary": "binary", "timestamp": "timestamp", "variant": "struct"}
 

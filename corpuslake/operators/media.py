@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.functions.anchors import byte_slice
+from corpuslake.functions.anchors import MEDIA_KINDS, byte_slice, variant
 
 
 def resolve_text(text: str, anchor: str = "anchor") -> Column:
@@ -19,6 +19,80 @@ def resolve_page(text: str, anchor: str = "anchor") -> Column:
     return F.when(F.col(span).isNotNull(), byte_slice(text, F.col(f"{span}.byteStart"), F.col(f"{span}.byteEnd"))).otherwise(F.col(text))
 
 
+#: What the variants of an anchor select from.
+TARGETS = {
+    "text_span": "text", "page": "text", "token_ref": "tokens", "token_ref_sequence": "tokens", "temporal_span": "samples", "spatio_temporal": "frame",
+    "external": "nothing",
+}
+#: Ways between keyframes, by name or by the end of their uri.
+INTERPOLATIONS = ("linear", "step", "cubic")
+
+
+def anchor_kind(anchor: str = "anchor") -> Column:
+    """Which variant an anchor has; null for none."""
+    return variant(anchor, MEDIA_KINDS)
+
+
+def resolve_external(anchor: str = "anchor") -> Column:
+    """The address of what lies outside; nothing is fetched."""
+    source = F.col(f"{anchor}.externalTarget.source")
+    return F.coalesce(source, F.raise_error(F.lit("an external anchor needs a source")).cast("string"))
+
+
+def interpolation_of(anchor: str = "anchor") -> Column:
+    """The way between keyframes: by name, else by the end of the uri where the anchor has one, else linear."""
+    body = f"{anchor}.spatioTemporalAnchor"
+    known = lambda c: F.when(c.isin(*INTERPOLATIONS), c)
+    return F.coalesce(known(F.col(f"{body}.interpolation")), known(F.lower(F.regexp_extract(F.col(f"{body}.interpolation"), r"([^/#]+)/*$", 1))), F.lit("linear"))
+
+
+def box_at(time: Column, anchor: str = "anchor") -> Column:
+    """The box of a spatio-temporal anchor at a time, which is first brought inside the anchor's span."""
+    body = f"{anchor}.spatioTemporalAnchor"
+    start, end = F.col(f"{body}.temporalSpan.start"), F.col(f"{body}.temporalSpan.ending")
+    inside = F.when(time < start, start).when(time > end, end).otherwise(time)
+    frames = F.sort_array(F.filter(f"{body}.keyframes", lambda k: k.isNotNull()))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    full = F.transform(frames, lambda k: F.struct(zero(k["timeMs"]).cast("long").alias("timeMs"), F.struct(*(zero(k["bbox"][f]).alias(f) for f in BOX_FIELDS)).alias("bbox")))
+    ways = {mode: interpolate(full, inside, list(BOX_FIELDS), mode) for mode in INTERPOLATIONS}
+    way = interpolation_of(anchor)
+    return F.when(way == "step", ways["step"]).when(way == "cubic", ways["cubic"]).otherwise(ways["linear"])
+
+
+BOX_FIELDS = ("x", "y", "width", "height")
+
+
+def resolve_anchors(rows: DataFrame, target: str, anchor: str = "anchor", **columns: str) -> DataFrame:
+    """``rows`` with ``kind`` and ``resolved``: what each anchor selects from the row's own data.
+
+    ``target`` says what data that is: ``text`` (column ``text``), ``tokens`` (an array
+    column ``tokens``), ``samples`` (columns ``samples``, ``rate``, ``channels``) or
+    ``frame`` (a column ``time`` in milliseconds; the box to cut out is resolved, and
+    ``crop_frames`` cuts it).  An anchor that selects from other data, or that has no
+    variant, is an error; an external one gives its source whatever the target.
+    """
+    if target not in ("text", "tokens", "samples", "frame"):
+        raise ValueError(f"no target {target}")
+    name = lambda c: columns.get(c, c)
+    kind = anchor_kind(anchor)
+    wrong = F.concat(F.coalesce(kind, F.lit("empty")), F.lit(f" anchors do not select from {target}"))
+    if target == "text":
+        made = F.when(kind == "text_span", resolve_text(name("text"), anchor)).when(kind == "page", resolve_page(name("text"), anchor)).when(kind == "external", resolve_external(anchor))
+        made = made.otherwise(F.raise_error(wrong).cast("string"))
+    elif target == "tokens":
+        made = F.when(kind.isin("token_ref", "token_ref_sequence"), resolve_token(name("tokens"), anchor)).when(kind == "external", F.array(resolve_external(anchor)))
+        made = made.otherwise(F.raise_error(wrong).cast("array<string>"))
+    elif target == "samples":
+        span = f"{anchor}.temporalSpan"
+        edge = lambda c: F.coalesce(F.col(f"{span}.{c}"), F.lit(0))
+        cut = window_of(F.col(name("samples")), edge("start"), edge("ending"), F.col(name("rate")), F.col(name("channels")))
+        made = F.when(kind == "temporal_span", cut).otherwise(F.raise_error(wrong).cast(rows.schema[name("samples")].dataType))
+    else:
+        box = box_at(F.col(name("time")), anchor)
+        made = F.when(kind == "spatio_temporal", box).otherwise(F.raise_error(wrong).cast("struct<x: double, y: double, width: double, height: double>"))
+    return rows.withColumn("kind", kind).withColumn("resolved", made)
+
+
 def resolve_token(tokens: str, anchor: str = "anchor") -> Column:
     """The token or tokens an anchor names, in its order."""
     one = F.col(f"{anchor}.tokenRef.tokenIndex")
@@ -112,3 +186,39 @@ def resolve_media(media: DataFrame) -> DataFrame:
 def verified(blobs: DataFrame) -> DataFrame:
     """Blobs with ``ok``: whether their bytes have the digest they are stored under."""
     return blobs.withColumn("ok", F.sha2("content", 256) == F.col("sha256"))
+
+
+class BlobCache:
+    """Contents by key in a folder; a key that is a SHA-256 in hex is held against its content."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    @staticmethod
+    def _checked(keys: DataFrame) -> DataFrame:
+        """A key is one part of a path, so that it cannot lead out of the folder."""
+        bad = F.col("key").isNull() | F.col("key").isin("", ".", "..") | F.col("key").rlike(r"[/\\\\]")
+        return keys.withColumn("key", F.when(bad, F.raise_error(F.lit("a key must be one part of a path"))).otherwise(F.col("key")))
+
+    def put(self, blobs: DataFrame, verify: bool = True) -> None:
+        """Store ``key, content``; one of a key's contents where it is given more than once.  A wrong digest is an error and stores nothing."""
+        rows = self._checked(blobs.select("key", "content")).groupBy("key").agg(F.max("content").alias("content"))
+        wrong = F.col("key").rlike("^[0-9a-f]{64}$") & (F.sha2("content", 256) != F.col("key"))
+        if verify:
+            rows = rows.withColumn("content", F.when(wrong, F.raise_error(F.concat(F.lit("the content is not that of "), "key")).cast("binary")).otherwise(F.col("content")))
+        known = self._all()
+        rows.join(known.select("key"), "key", "left_anti").write.mode("append").parquet(self.folder)
+
+    def get(self, keys: DataFrame) -> DataFrame:
+        """``key, content`` of ``keys(key)``; null where there is none."""
+        found = self._all().groupBy("key").agg(F.max("content").alias("content"))
+        return self._checked(keys.select("key")).distinct().join(found, "key", "left")
+
+    def exists(self, keys: DataFrame) -> DataFrame:
+        return self._checked(keys.select("key")).join(self._all().select("key", F.lit(True).alias("there")).distinct(), "key", "left").select("key", F.coalesce("there", F.lit(False)).alias("there"))
+
+    def _all(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        schema = "key string, content binary"
+        return self.spark.read.schema(schema).parquet(self.folder) if there else self.spark.createDataFrame([], schema)

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.kinds import IDENTITY_FIELDS, section_of, tier_of
-from corpuslake.functions.uri import nsid_of
+from corpuslake.functions.uri import nsid_of, rkey_of
+from corpuslake.operators.corpus import lineage_cut
+from corpuslake.sources.files import Folder
 
 VALUE_WIDTH, PATH_WIDTH, MOST_TARGETS = 1000, 200, 10
 
@@ -36,30 +41,53 @@ def state_at(spark, commits: dict[str, list[str]], data: DataFrame, head: str) -
 
 
 class VersionStore:
-    """Commits, tags and rows of writes; every change is an append."""
+    """Commits, tags and rows of writes in a folder; whoever opens it sees what was committed.
+
+    A commit's rows are written under a name of their own, then its note is put in
+    place by a rename: a write that fails leaves rows that no note names, and of two
+    writers that commit at once one fails and may try again.
+    """
 
     SCHEMA = "commit_id string, uri string, value string, is_tombstone boolean, ord long"
 
     def __init__(self, spark, folder: str):
-        self.spark, self.folder = spark, folder
-        self.commits: dict[str, list[str]] = {}
-        self.log: list[tuple[str, str, str]] = []
-        self.tags: dict[str, str] = {}
-        self.head: str | None = None
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._notes, self._tags = Folder(spark, f"{self.folder}/commits"), Folder(spark, f"{self.folder}/tags")
+
+    @property
+    def log(self) -> list[dict]:
+        """Notes of all commits, oldest first: ``id, parents, author, message``."""
+        return [self._notes.read(n) for n in self._notes.names() if n.endswith(".json") and not n.startswith(".")]
+
+    @property
+    def commits(self) -> dict[str, list[str]]:
+        return {c["id"]: c["parents"] for c in self.log}
+
+    @property
+    def tags(self) -> dict[str, str]:
+        return {n.removesuffix(".json"): self._tags.read(n)["commit"] for n in self._tags.names() if not n.startswith(".")}
+
+    @property
+    def head(self) -> str | None:
+        """The last commit."""
+        log = self.log
+        return log[-1]["id"] if log else None
 
     def commit(self, rows: DataFrame, message: str, author: str = "", parents: list[str] | None = None) -> str:
         """Append ``rows(uri, value, is_tombstone, ord)`` as a commit after the head."""
-        name = f"c{len(self.commits):08d}"
-        rows.select(F.lit(name).alias("commit_id"), "uri", "value", "is_tombstone", "ord").write.mode("append").parquet(self.folder)
-        self.commits[name] = parents if parents is not None else [self.head] if self.head else []
-        self.log.append((name, author, message))
-        self.head = name
+        log = self.log
+        place, name = len(log), f"c{len(log):08d}-{uuid.uuid4().hex[:12]}"
+        rows.select(F.lit(name).alias("commit_id"), "uri", "value", "is_tombstone", F.col("ord").cast("long").alias("ord")).write.mode("overwrite").parquet(f"{self.folder}/data/{name}")
+        note = {"id": name, "parents": parents if parents is not None else [log[-1]["id"]] if log else [], "author": author, "message": message}
+        if not self._notes.write(f"{place:08d}.json", note):
+            raise RuntimeError("another commit came first")
         return name
 
-    def tag(self, name: str) -> None:
-        if self.head is None:
+    def tag(self, name: str, ref: str | None = None) -> None:
+        commit = self.head if ref is None else self.resolve(ref)
+        if commit is None:
             raise ValueError("there is no commit to tag")
-        self.tags[name] = self.head
+        self._tags.write(f"{name}.json", {"commit": commit}, replace=True)
 
     def resolve(self, ref: str) -> str:
         found = self.tags.get(ref, ref)
@@ -68,9 +96,17 @@ class VersionStore:
         return found
 
     def state(self, ref: str | None = None) -> DataFrame:
-        if self.head is None:
+        """``uri, value`` at a commit or tag (default: the head), from the rows of its ancestry alone."""
+        commits = self.commits
+        if not commits:
             return self.spark.createDataFrame([], "uri string, value string")
-        return state_at(self.spark, self.commits, self.spark.read.schema(self.SCHEMA).parquet(self.folder), self.resolve(ref or self.head))
+        commit = self.head if ref is None else self.resolve(ref)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*(f"{self.folder}/data/{c}" for c in ancestry(commits, commit)))
+        return state_at(self.spark, commits, rows, commit)
+
+    def save(self, uri: str, value: str, message: str = "") -> str:
+        """Commit one record."""
+        return self.commit(self.spark.createDataFrame([(uri, value, False, 0)], "uri string, value string, is_tombstone boolean, ord long"), message or f"save {uri}")
 
     def forget(self, uri: str, message: str = "") -> str:
         if self.state().filter(F.col("uri") == uri).isEmpty():
@@ -150,17 +186,21 @@ def bump_version(version: Column, level: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: x.cast("string")), ".")
 
 
-def changelog_groups(changes: DataFrame, nsid: str = "nsid", key: str = "uri") -> DataFrame:
-    """Changes by section, type and path: their count, the first ten targets, and the value of single ones."""
-    grouped = changes.withColumn("category", section_of(nsid)).groupBy("category", "change_type", "field_path")
-    return grouped.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_join(F.slice(F.sort_array(F.collect_set(key)), 1, MOST_TARGETS), ",").alias("targets"),
-        F.when(F.count(F.lit(1)) == 1, F.min("new_value")).alias("new_value"),
-    )
+def changelog_groups(changes: DataFrame, nsid: str = "nsid", key: str = "uri", namespace: str | None = None) -> DataFrame:
+    """Changes by section, type and path: their count, the first ten targets, and the value of single ones.
 
+    Spark keeps ten targets a group in each task before it exchanges them, so a group
+    that all records share is never gathered.
+    """
+    path = ["category", "change_type", "field_path"]
+    rows = changes.withColumn("category", section_of(nsid, namespace))
+    counted = rows.groupBy(*path).agg(F.count(F.lit(1)).alias("n"), F.min("new_value").alias("_value"))
+    ranked = rows.select(*path, F.col(key).alias("_key")).withColumn("_rank", F.dense_rank().over(Window.partitionBy(*path).orderBy("_key")))
+    first = ranked.filter(F.col("_rank") <= MOST_TARGETS).groupBy(*path).agg(F.array_join(F.sort_array(F.collect_set("_key")), ",").alias("targets"))
+    return counted.join(first, path).select(*path, "n", "targets", F.when(F.col("n") == 1, F.col("_value")).alias("new_value"))
 
-def plan_publish(local: DataFrame, remote: DataFrame) -> DataFrame:
+
+def plan_publish(local: DataFrame, remote: DataFrame, namespace: str | None = None) -> DataFrame:
     """``action, tier, uri, nsid, place`` from local and remote ``uri, cid``.
 
     Deletes come first, from the highest tier down; then creates and updates from
@@ -168,27 +208,31 @@ def plan_publish(local: DataFrame, remote: DataFrame) -> DataFrame:
     """
     found = diff(remote, local, value="cid")
     action = F.create_map(*[F.lit(x) for x in ("added", "create", "removed", "delete", "changed", "update")])[F.col("status")]
-    ops = found.select(action.alias("action"), "uri", nsid_of("uri").alias("nsid")).withColumn("tier", tier_of("nsid"))
+    ops = found.select(action.alias("action"), "uri", nsid_of("uri").alias("nsid")).withColumn("tier", tier_of("nsid", namespace))
+    return number_rows(ops, publish_order()).select("action", "tier", "uri", "nsid", "place")
+
+
+def publish_order() -> list[Column]:
+    """Deletes first, from the highest tier down, then the others from the lowest tier up; then by uri."""
     upsert = F.col("action") != "delete"
-    order = [upsert, F.when(upsert, F.col("tier")).otherwise(-F.col("tier")), F.col("uri")]
-    return number_rows(ops, order).select("action", "tier", "uri", "nsid", "place")
+    return [upsert, F.when(upsert, F.col("tier")).otherwise(-F.col("tier")), F.col("uri")]
 
 
 def number_rows(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     """Rows numbered from 0 in a total order, without bringing them to one task.
 
-    Rows are sorted over range partitions; the sizes of the partitions, one number
-    each, give every partition its offset.
+    Rows are sorted over range partitions; a row's number in its partition comes with
+    the sort, and the sizes of the partitions, one number each, give every partition its
+    offset.  The sorted rows are kept, as ranges that are drawn twice need not be the same.
     """
-    if df.sparkSession.conf.get("spark.sql.shuffle.partitions") == "1":
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     keyed = df.withColumn("_o", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]))
-    ranged = keyed.repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
+    ranged = lineage_cut(df.sparkSession)(keyed.repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_id", F.monotonically_increasing_id()))
+    low = F.lit((1 << 33) - 1)
+    local = ranged.withColumn("_p", F.shiftright("_id", 33)).withColumn("_n", F.col("_id").bitwiseAND(low))
     sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_p", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_o", "_p", "_n", "_before")
+    return local.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_before") + F.col("_n")).cast("long")).drop("_o", "_id", "_p", "_n", "_before")
 
 
 def chunks(df: DataFrame, place: str = "place", size: int = 200) -> DataFrame:
@@ -216,6 +260,10 @@ def schema_diff(old: DataFrame, new: DataFrame) -> list[tuple[str, str, str | No
     return [(p, "added" if p not in a else "removed" if p not in b else "changed", a.get(p), b.get(p)) for p in sorted({*a, *b}) if a.get(p) != b.get(p)]
 
 
+#: A bump rule: from record and field differences to one row ``level``.
+BumpRule = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Changelog:
     """An aggregate entry: version, level and grouped changes."""
@@ -225,10 +273,81 @@ class Changelog:
     groups: DataFrame
 
 
-def generate_changelog(base: DataFrame, head: DataFrame, previous: str | None) -> Changelog:
-    """The changelog from one state to another; no change keeps the version."""
+def generate_changelog(base: DataFrame, head: DataFrame, previous: str | None, rule: BumpRule = bump_level) -> Changelog:
+    """The changelog from one state to another; no change keeps the version.  ``rule`` may be one of the caller's."""
     records = diff(base, head)
     changes = field_changes(records).withColumn("nsid", nsid_of("uri"))
-    level = bump_level(records, changes)
+    level = rule(records, changes)
     row = level.select("level", bump_version(F.lit(previous), F.col("level")).alias("version")).first()
     return Changelog(row.version, row.level, changelog_groups(changes))
+
+
+def entries(records: DataFrame, changes: DataFrame, previous: DataFrame | None = None, rule: Callable[[DataFrame], Column] | None = None, namespace: str | None = None) -> DataFrame:
+    """``subject, nsid, record_change, level, previous_version, version, sections``: an entry for each record that differs.
+
+    ``records`` is a ``diff`` and ``changes`` its ``field_changes``; ``previous`` has
+    ``subject, version``.  A subject's sections are its changes in JSON, by path.
+    ``rule`` gives the level from the aggregates ``status, lost, broken, came`` of a
+    subject; a record that is unchanged keeps its version and has no section.
+    """
+    leaf = F.element_at(F.split("field_path", "/"), -1)
+    kind = F.col("change_type")
+    item = F.struct("field_path", "change_type", "old_value", "new_value")
+    per = changes.groupBy("uri").agg(
+        F.bool_or(kind == "removed").alias("lost"), F.bool_or((kind == "changed") & leaf.isin(*IDENTITY_FIELDS)).alias("broken"), F.bool_or(kind == "added").alias("came"),
+        F.sort_array(F.collect_list(item)).alias("items"),
+    )
+    told = records.select("uri", "status").join(per, "uri", "left")
+    told = told.select("uri", "status", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("lost", "broken", "came")), "items")
+    default = F.when((F.col("status") == "removed") | F.col("lost") | F.col("broken"), "major").when((F.col("status") == "added") | F.col("came"), "minor").otherwise("patch")
+    same = (F.col("status") == "unchanged") & F.col("items").isNull()
+    level = F.when(same, F.lit("none")).otherwise(default if rule is None else rule(told))
+    if previous is not None:
+        told = told.join(previous.select(F.col("subject").alias("uri"), F.col("version").alias("previous_version")), "uri", "left")
+    else:
+        told = told.withColumn("previous_version", F.lit(None).cast("string"))
+    told = told.withColumn("nsid", nsid_of("uri")).withColumn("level", level)
+    version = F.when(F.col("level") == "none", F.col("previous_version")).otherwise(bump_version(F.col("previous_version"), F.col("level")))
+    sections = F.when(F.col("level") == "none", F.lit("[]")).otherwise(F.to_json(F.array(F.struct(section_of("nsid", namespace).alias("category"), F.coalesce("items", F.array().cast(told.schema["items"].dataType)).alias("items")))))
+    return told.select(F.col("uri").alias("subject"), "nsid", F.col("status").alias("record_change"), "level", "previous_version", version.alias("version"), sections.alias("sections"))
+
+
+def generate_entry(base: DataFrame | None, head: DataFrame, subject: str, previous: str | None = None, **options) -> DataFrame:
+    """The entry of one record from one state (null: an empty one) to another; ValueError if neither has it."""
+    base = head.limit(0) if base is None else base
+    records = diff(*(df.filter(F.col("uri") == subject) for df in (base, head)), unchanged=True)
+    if records.isEmpty():
+        raise ValueError(f"neither state has {subject}")
+    known = head.sparkSession.createDataFrame([(subject, previous)], "subject string, version string")
+    return entries(records, field_changes(records.filter("status != 'unchanged'")), known, **options)
+
+
+def augment(plan: DataFrame, base: DataFrame, head: DataFrame, previous: DataFrame, to: str, nsid: str, **options) -> DataFrame:
+    """A publish plan with the changelog entries of its records as further creates, in their place.
+
+    ``plan`` is ``plan_publish``'s; ``previous`` has ``subject, version``; entries are
+    named after their record and version, under ``to`` and the collection ``nsid``.
+    Records of that collection get no entry, nor do records that do not differ between
+    the states.
+    """
+    subjects = plan.filter(F.col("nsid") != nsid).select("uri").distinct()
+    records = diff(base, head).join(subjects, "uri", "left_semi")
+    made = entries(records, field_changes(records), previous, **options).filter("version is not null")
+    rows = made.select(F.lit("create").alias("action"), F.concat(F.lit(f"at://{to}/{nsid}/"), rkey_of("subject"), F.lit("."), "version").alias("uri"), F.lit(nsid).alias("nsid"))
+    both = plan.select("action", "uri", "nsid").unionByName(rows).withColumn("tier", tier_of("nsid", options.get("namespace")))
+    return number_rows(both, publish_order()).select("action", "tier", "uri", "nsid", "place")
+
+
+def merge_plans(plans: list[DataFrame]) -> DataFrame:
+    """Several plans as one, in publish order; of writes to one uri the last plan's holds."""
+    each = [p.select("action", "uri", "nsid", "tier").withColumn("_plan", F.lit(k)) for k, p in enumerate(plans)]
+    last = reduce(DataFrame.unionAll, each).groupBy("uri").agg(F.max_by(F.struct("action", "nsid", "tier"), "_plan").alias("w")).select("w.action", "uri", "w.nsid", "w.tier")
+    return number_rows(last, publish_order()).select("action", "tier", "uri", "nsid", "place")
+
+
+def wire_value(value: Column | str, nsid: Column | str) -> Column:
+    """A record's JSON text as it is sent: its collection as ``$type``, before its own fields."""
+    value, nsid = (F.col(c) if isinstance(c, str) else c for c in (value, nsid))
+    body = F.substring(F.trim(value), 2, 1 << 30)
+    marker = F.concat(F.lit('{"$type":"'), nsid, F.lit('"'))
+    return F.when(F.regexp_like(value, F.lit(r"^\s*\{\s*\}\s*$")), F.concat(marker, F.lit("}"))).otherwise(F.concat(marker, F.lit(","), body))

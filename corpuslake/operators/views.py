@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslake.functions.uri import truncate
 from corpuslake.operators import analytics
 
 
@@ -51,6 +52,29 @@ def expression(expressions: DataFrame, layers: DataFrame, edges: DataFrame, uri:
     }
 
 
+def _license() -> Column:
+    return F.coalesce(F.nullif("licensing.expression", F.lit("")), F.array_join(F.transform("licensing.licenses", lambda x: x["spdx"]), ", "))
+
+
+def media(records: DataFrame) -> DataFrame:
+    """A medium's technical data: its title, else its kind, heads it."""
+    return records.select("uri", F.coalesce(F.nullif("title", F.lit("")), "kind").alias("heading"), "kind", F.col("mimeType").alias("mime"), F.col("durationMs").alias("duration_ms"), F.col("externalUri").alias("external"), _license().alias("licensing"))
+
+
+def persona(records: DataFrame, preview: int = 600) -> DataFrame:
+    """A persona's frame and the beginning of its guidelines."""
+    return records.select("uri", F.col("name").alias("heading"), "description", "domain", "kind", F.array_join("ontologyRefs", ", ").alias("ontologies"), _license().alias("licensing"), truncate("guidelines", preview).alias("guidelines"))
+
+
+def eprint(records: DataFrame) -> DataFrame:
+    """A paper's citation: headed by its title, else the citation as text, else its identifier."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    creator = lambda c: F.coalesce(filled(c["literal"]), filled(c["family"]), filled(c["given"]))
+    names = F.array_join(F.transform("citation.creators", creator), ", ")
+    heading = F.coalesce(filled("citation.title"), filled("citation.raw"), F.col("eprintIdentifier"))
+    return records.select("uri", heading.alias("heading"), F.col("eprintIdentifier").alias("identifier"), F.col("eprintIdentifierType").alias("id_type"), F.col("linkType").alias("link_type"), names.alias("creators"), F.col("citation.doi").alias("doi"), F.col("citation.containerTitle").alias("venue"))
+
+
 def edge_cards(edge_sets: DataFrame) -> DataFrame:
     """Edges of edge sets with the names of their ends."""
     each = edge_sets.select("uri", "edgeType", F.posexplode("edges").alias("edge_no", "e"))

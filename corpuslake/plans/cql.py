@@ -8,47 +8,60 @@ in one sorted pass.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.functions.regex import re2_to_java
 from corpuslake.plans.errors import PatternError
 
 Constraint = tuple[str, str, str]
-_TOKEN = re.compile(r"\[([^\]]*)\]")
-_CONSTRAINT = re.compile(r'\s*&?\s*([A-Za-z_]\w*)\s*(!=|=|~)\s*"([^"]*)"')
+OPERATORS = ("!=", "=", "~")
+
+
+def _constraints(inner: str) -> list[Constraint]:
+    """What stands between two brackets, read from left to right; ``&`` between constraints may be left out."""
+    found, rest = [], inner.strip()
+    while rest:
+        rest = rest.removeprefix("&").lstrip()
+        size = next((k for k, c in enumerate(rest) if not (c.isalnum() or c == "_")), len(rest))
+        name, rest = rest[:size], rest[size:].lstrip()
+        op = next((o for o in OPERATORS if rest.startswith(o)), None)
+        value, quote, behind = rest[len(op or "") :].lstrip().removeprefix('"').partition('"')
+        quoted = rest[len(op or "") :].lstrip().startswith('"') and quote
+        if not name or name[0].isdigit() or op is None or not quoted:
+            raise PatternError(f"malformed constraint: [{inner}]")
+        found.append((name, op, value))
+        rest = behind.lstrip()
+    return found
 
 
 def parse(pattern: str, columns: list[str]) -> list[list[Constraint]]:
-    """Constraints by token; errors name what is wrong."""
-    if re.search(r"\]\s*[*+?{]", pattern):
+    """Constraints by token; errors name what is wrong.  What stands outside brackets does not count."""
+    if any(part.lstrip().startswith(("*", "+", "?", "{")) for part in pattern.split("]")[1:]):
         raise PatternError("quantifiers are not supported")
-    tokens = _TOKEN.findall(pattern)
-    if not tokens:
+    found, rest = [], pattern
+    while "[" in rest and "]" in rest[rest.index("[") :]:
+        inner, _, rest = rest[rest.index("[") + 1 :].partition("]")
+        found.append(_constraints(inner))
+    if not found:
         raise PatternError("no [...] in the pattern")
-    found = []
-    for inner in tokens:
-        constraints, at = [], 0
-        while m := _CONSTRAINT.match(inner, at):
-            constraints.append(m.groups())
-            at = m.end()
-        if inner[at:].strip():
-            raise PatternError(f"malformed constraint: [{inner}]")
-        for name, _, _ in constraints:
-            if name not in columns:
-                raise PatternError(f"no attribute {name}; there are {', '.join(columns)}")
-        found.append(constraints)
+    for name in (name for token in found for name, _, _ in token):
+        if name not in columns:
+            raise PatternError(f"no attribute {name}; there are {', '.join(columns)}")
     return found
 
 
 def condition(constraint: Constraint, at=F.col) -> Column:
-    """``=`` and ``!=`` drop nulls as SQL does; ``~`` finds the expression anywhere."""
+    """``=`` and ``!=`` drop nulls as SQL does; ``~`` finds the expression, in the RE2 dialect, anywhere."""
     name, op, value = constraint
     column = at(name).cast("string")
     if op == "~":
-        return column.rlike(value)
+        try:
+            return column.rlike(re2_to_java(value))
+        except ValueError as e:
+            raise PatternError(str(e)) from e
     return column == value if op == "=" else column != value
 
 

@@ -37,7 +37,7 @@ def literal_in(pattern: str) -> str | None:
 
 def kwic(df: DataFrame, pattern: str, column: str = "text", label: str | None = None, window: int = 48, ignore_case: bool = True) -> DataFrame:
     """``source, match_no, left, match, right`` for every match; nulls are skipped, blanks collapsed on each side."""
-    if not pattern:
+    if not pattern.strip():
         raise QueryError("the pattern is empty")
     if column not in df.columns:
         raise QueryError(f"no column {column}; there are {', '.join(df.columns)}")

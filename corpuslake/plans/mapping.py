@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.functions.partitioning import spread
-from corpuslake.plans.registry import table
+from corpuslake.plans.tables import table
 
 
 def expressions(spark: SparkSession, d: str) -> DataFrame:

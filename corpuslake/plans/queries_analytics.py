@@ -8,17 +8,10 @@ from pyspark.sql import functions as F
 from corpuslake.functions.anchors import byte_slice
 from corpuslake.operators import analytics, media
 from corpuslake.plans import mapping
-from corpuslake.plans.registry import query, table, without
+from corpuslake.plans.registry import query, table
 from corpuslake.sources import codecs, exporters
 
-_SENTENCE = r"WITH w AS (" + mapping.WORDS + "), s AS (SELECT * FROM w WHERE token_index < 40)"
-
-_FORTY = " WHERE token_index < 40"
-
-
-def _sentences(spark, d):
-    """The first forty words of each document as a sentence; the word before is a word's head."""
-    return mapping.words(spark, d).filter("token_index < 40").withColumnRenamed("layer_uri", "sentence")
+_WORDS = r"WITH s AS (" + mapping.WORDS + ")"
 
 
 def _documents(spark, d):
@@ -26,61 +19,56 @@ def _documents(spark, d):
     return mapping.words(spark, d).withColumnRenamed("layer_uri", "sentence")
 
 
-@query("syntax_grid_pivot", _SENTENCE + """ SELECT layer_uri AS sentence, token_index, value AS form, label AS "UPOS", CASE WHEN regexp_matches(value, '^[A-Za-z]{6}') THEN upper(substring(value, 1, 3)) ELSE '_' END AS "LEMMA",
+@query("syntax_grid_pivot", _WORDS + """ SELECT layer_uri AS sentence, token_index, value AS form, label AS "UPOS", CASE WHEN regexp_matches(value, '^[A-Za-z]{6}') THEN upper(substring(value, 1, 3)) ELSE '_' END AS "LEMMA",
   CAST(CASE WHEN token_index = 0 THEN 0 ELSE token_index END AS VARCHAR) AS "HEAD", 'dep' AS "DEPREL" FROM s""")
 def syntax_grid_pivot(spark, d):
-    return _grid(_sentences(spark, d))
-
-
-@query("syntax_grid_whole", without("syntax_grid_pivot", _FORTY))
-def syntax_grid_whole(spark, d):
-    return _grid(_documents(spark, d))
-
-
-def _grid(w):
-    keys = ["sentence", "token_index"]
-    tags = w.select(*keys, F.lit("pos").alias("subkind"), F.col("label").alias("value")).unionAll(w.filter(F.col("value").rlike("^[A-Za-z]{6}")).select(*keys, F.lit("lemma"), F.upper(F.substring("value", 1, 3))))
-    heads = tags.select(*keys, analytics.tag_heading(F.col("subkind"), F.lit("token-tag")).alias("heading"), F.col("value"), F.lit(None).cast("string").alias("label"))
-    values = analytics.tag_values(heads, [*keys, "heading"])
+    """The word before is a word's head."""
+    w, keys = _documents(spark, d), ["sentence", "token_index"]
+    lemma = F.when(F.col("value").rlike("^[A-Za-z]{6}"), F.upper(F.substring("value", 1, 3)))
+    rows = F.inline(F.filter(F.array(F.struct(F.lit("pos").alias("subkind"), F.col("label").alias("value")), F.struct(F.lit("lemma").alias("subkind"), lemma.alias("value"))), lambda x: x["value"].isNotNull()))
+    tags = w.select(*keys, rows).select(*keys, analytics.tag_heading(F.col("subkind"), F.lit("token-tag")).alias("heading"), F.col("value"), F.lit(None).cast("string").alias("label"))
     relations = w.select(*keys, (F.col("token_index") - 1).alias("head"), F.lit("dep").alias("deprel"))
-    return analytics.syntax_grid(w.select(*keys, F.col("value").alias("form")), values, ["LEMMA", "UPOS"], relations)
+    return analytics.syntax_grid(w.select(*keys, F.col("value").alias("form")), analytics.tag_values(tags, [*keys, "heading"]), ["LEMMA", "UPOS"], relations)
 
 
-@query("dependency_relations", _SENTENCE + " SELECT layer_uri, token_index // 2 AS token_index, arg_max(CASE WHEN token_index % 3 = 0 THEN -1 ELSE token_index END, token_index) AS head, arg_max(label, token_index) AS deprel FROM s GROUP BY layer_uri, token_index // 2")
+@query("dependency_relations", _WORDS + " SELECT layer_uri, token_index // 2 AS token_index, arg_max(CASE WHEN token_index % 3 = 0 THEN -1 ELSE token_index END, token_index) AS head, arg_max(label, token_index) AS deprel FROM s GROUP BY layer_uri, token_index // 2")
 def dependency_relations(spark, d):
-    return _relations(_sentences(spark, d))
-
-
-@query("dependency_relations_whole", without("dependency_relations", _FORTY))
-def dependency_relations_whole(spark, d):
-    return _relations(_documents(spark, d))
-
-
-def _relations(w):
-    rows = w.withColumnRenamed("sentence", "layer_uri").select("layer_uri", F.floor(F.col("token_index") / 2).alias("token_index"), F.when(F.col("token_index") % 3 != 0, F.col("token_index")).alias("head_index"), "label", F.col("token_index").alias("annotation_index"))
+    w = mapping.words(spark, d)
+    rows = w.select("layer_uri", F.floor(F.col("token_index") / 2).alias("token_index"), F.when(F.col("token_index") % 3 != 0, F.col("token_index")).alias("head_index"), "label", F.col("token_index").alias("annotation_index"))
     return analytics.dependencies(rows)
 
 
-@query("dependency_tree", _SENTENCE + """, r AS (SELECT layer_uri AS sentence, row_number() OVER (PARTITION BY layer_uri ORDER BY token_index) - 1 AS token_index FROM s),
+@query("dependency_tree", _WORDS + """, r AS (SELECT layer_uri AS sentence, row_number() OVER (PARTITION BY layer_uri ORDER BY token_index) - 1 AS token_index FROM s),
 t AS (SELECT sentence, token_index, CASE WHEN token_index = 0 THEN -1 ELSE (token_index - 1) // 2 END AS head FROM r)
 SELECT sentence, token_index, CAST(floor(log2(token_index + 1)) AS INTEGER) AS depth FROM t""")
 def dependency_tree(spark, d):
-    return _heap(_sentences(spark, d))
-
-
-@query("dependency_tree_whole", without("dependency_tree", _FORTY))
-def dependency_tree_whole(spark, d):
-    return _heap(_documents(spark, d))
-
-
-def _heap(w):
     """Words as the nodes of a binary heap."""
     order = Window.partitionBy("sentence").orderBy("token_index")
-    w = w.select("sentence", (F.row_number().over(order) - 1).cast("long").alias("token_index"))
+    w = _documents(spark, d).select("sentence", (F.row_number().over(order) - 1).cast("long").alias("token_index"))
     heads = F.when(F.col("token_index") == 0, -1).otherwise(F.floor((F.col("token_index") - 1) / 2))
     return analytics.dependency_tree(w.withColumn("head", heads)).select("sentence", "token_index", "depth")
 
 
+@query("interlinear_strips", """SELECT o_orderkey AS expression, 0 AS strip, CAST(k AS BIGINT) AS token_index, CAST(r AS INTEGER) AS row, CASE r WHEN 0 THEN 'word' ELSE 'UPOS' END AS heading,
+  CASE WHEN r = 0 AND k = 0 THEN o_orderstatus WHEN r = 0 THEN o_orderpriority WHEN k = 0 THEN 'STATUS' ELSE '' END AS cell FROM orders, (SELECT unnest([0, 1]) AS k), (SELECT unnest([0, 1]) AS r)""")
+def interlinear_strips(spark, d):
+    """An order's status and priority as two words, the first with a tag."""
+    o = table(spark, d, "orders")
+    each = F.posexplode(F.array("o_orderstatus", "o_orderpriority")).alias("token_index", "surface")
+    words = o.select(F.col("o_orderkey").alias("expression"), each)
+    tags = o.select(F.col("o_orderkey").alias("expression"), F.lit(0).alias("token_index"), F.lit("UPOS").alias("heading"), F.lit("STATUS").alias("tag"))
+    return analytics.interlinear(words, tags, ["UPOS"]).select("expression", F.col("strip").cast("int").alias("strip"), "token_index", "row", "heading", "cell")
+
+
+@query("segmentation_rows", "SELECT 'o' || l_orderkey AS uri, CAST(l_linenumber AS BIGINT) AS token_index, l_shipdate_text AS surface FROM (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate_text FROM lineitem)")
+def segmentation_rows(spark, d):
+    """Line items as the tokens of their order."""
+    token = F.struct(F.col("l_linenumber").cast("long").alias("tokenIndex"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("text"), F.struct(F.lit(0).cast("long").alias("byteStart"), F.lit(1).cast("long").alias("byteEnd")).alias("textSpan"))
+    own = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(token).alias("tokens"))
+    segmentations = own.select(F.concat(F.lit("o"), "l_orderkey").alias("uri"), F.array(F.struct(F.lit("t").alias("uuid"), F.lit("custom").alias("kind"), "tokens")).alias("tokenizations"))
+    return analytics.segmentation_table(segmentations).select("uri", "token_index", "surface")
+
+
 @query("descendant_texts", "SELECT 'c' || conv_id AS uri, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS texts FROM conversations WHERE text != '' GROUP BY conv_id")
 def descendant_texts(spark, d):
     """Turns below their conversation."""
@@ -96,18 +84,9 @@ def byte_spans(spark, d):
     return docs.select("doc_id", byte_slice("t", F.lit(10), F.lit(40)).alias("piece"))
 
 
-@query("tier_timeline", "SELECT event_id, unnest(range(event_id % 7, event_id % 7 + event_id % 3 + 1)) AS \"column\" FROM events WHERE event_id < 1000")
+@query("tier_timeline", "SELECT event_id, unnest(range(event_id % 7, event_id % 7 + event_id % 3 + 1)) AS \"column\" FROM events")
 def tier_timeline(spark, d):
-    return _timeline(table(spark, d, "events").filter("event_id < 1000"))
-
-
-@query("tier_timeline_whole", without("tier_timeline", " WHERE event_id < 1000"))
-def tier_timeline_whole(spark, d):
-    return _timeline(table(spark, d, "events"))
-
-
-def _timeline(events):
-    e = events.select("event_id", (F.col("event_id") % 7 * 200).alias("t_start_ms"), ((F.col("event_id") % 7 + F.col("event_id") % 3) * 200 + 10).alias("t_end_ms"))
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 7 * 200).alias("t_start_ms"), ((F.col("event_id") % 7 + F.col("event_id") % 3) * 200 + 10).alias("t_end_ms"))
     return analytics.timeline(e).select("event_id", "column")
 
 
@@ -171,16 +150,29 @@ def judgment_ordinal(spark, d):
     return analytics.ordinal_histogram(v, "g", "v", 1, 9).withColumn("mean", F.round("mean", 6)).withColumn("median", F.col("median").cast("double"))
 
 
-@query("judgment_magnitude", "SELECT o_orderpriority AS g, count(*) AS n, round(exp(avg(ln(o_totalprice))), 4) AS center, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS upper_median, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1")
-def judgment_magnitude(spark, d):
-    v = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v"))
-    return analytics.magnitude_summary(v, "g", "v").withColumn("center", F.round("center", 4))
+_MAGNITUDE = """SELECT g, count(*) AS n, round(coalesce(exp(avg(CASE WHEN v > 0 THEN ln(CASE WHEN v > 0 THEN v END) END)), avg(v)), 4) AS center, list_sort(list(v))[count(*) // 2 + 1] AS upper_median, min(v) AS low, max(v) AS high FROM v GROUP BY g"""
+_BINS = """, e AS (SELECT g, v, min(v) OVER (PARTITION BY g) AS lo, max(v) OVER (PARTITION BY g) AS hi FROM v)
+SELECT g, CAST(least(15, floor((v - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 15)) AS BIGINT) AS bin, count(*) AS n FROM e GROUP BY 1, 2"""
+_PRICES = "WITH v AS (SELECT o_orderpriority AS g, o_totalprice AS v FROM orders)"
+#: Whole balances: negative ones, zeros, and a group whose values are all below one.
+_BALANCES = "WITH v AS (SELECT c_mktsegment AS g, CAST(trunc(c_acctbal / 1000) AS DOUBLE) AS v FROM customer UNION ALL SELECT 'debt', CAST(-(c_custkey % 5) AS DOUBLE) FROM customer UNION ALL SELECT 'same', 3.0 FROM region)"
+
+
+def _prices(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v"))
+
+
+def _balances(spark, d):
+    c = table(spark, d, "customer")
+    whole = c.select(F.col("c_mktsegment").alias("g"), (F.col("c_acctbal") / 1000).cast("long").cast("double").alias("v"))
+    debt = c.select(F.lit("debt"), (-(F.col("c_custkey") % 5)).cast("double"))
+    return whole.unionAll(debt).unionAll(table(spark, d, "region").select(F.lit("same"), F.lit(3.0)))
 
 
-@query("judgment_bins", """WITH v AS (SELECT o_orderpriority AS g, o_totalprice AS v, min(o_totalprice) OVER (PARTITION BY o_orderpriority) AS lo, max(o_totalprice) OVER (PARTITION BY o_orderpriority) AS hi FROM orders)
-SELECT g, CAST(least(15, floor((v - lo) / (hi - lo) * 16)) AS BIGINT) AS bin, count(*) AS n FROM v GROUP BY 1, 2""")
-def judgment_bins(spark, d):
-    return analytics.magnitude_bins(table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v")), "g", "v")
+for _name, _sql, _values in (("judgment_magnitude", _PRICES, _prices), ("judgment_magnitude_signed", _BALANCES, _balances)):
+    query(_name, f"{_sql} {_MAGNITUDE}")(lambda spark, d, values=_values: analytics.magnitude_summary(values(spark, d), "g", "v").withColumn("center", F.round("center", 4)))
+for _name, _sql, _values in (("judgment_bins", _PRICES, _prices), ("judgment_bins_signed", _BALANCES, _balances)):
+    query(_name, f"{_sql}{_BINS}")(lambda spark, d, values=_values: analytics.magnitude_bins(values(spark, d), "g", "v"))
 
 
 @query("judgment_categorical", """WITH c AS (SELECT c_nationkey AS g, c_mktsegment AS v, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY 1, 2)

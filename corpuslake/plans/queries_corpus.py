@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions.partitioning import spread
 from corpuslake.operators import corpus, discovery
 from corpuslake.plans import mapping, service
-from corpuslake.plans.registry import query, table, without
+from corpuslake.plans.registry import query, table
 from corpuslake.sources.knowledge import KnowledgeBase
 
 E, M, L = mapping.EXPRESSIONS, mapping.MEMBERSHIPS, mapping.LAYERS
@@ -71,22 +71,14 @@ def backrefs(spark, d):
 
 
 @query("closure_recursive", """WITH RECURSIVE edges AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-walk(uri) AS (SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey < 200 UNION SELECT dst FROM walk JOIN edges ON src = uri) SELECT DISTINCT uri FROM walk""")
+walk(uri) AS (SELECT 'o' || o_orderkey FROM orders UNION SELECT dst FROM walk JOIN edges ON src = uri) SELECT DISTINCT uri FROM walk""")
 def closure_recursive(spark, d):
-    return _reached(spark, d, table(spark, d, "orders").filter("o_orderkey < 200"))
-
-
-@query("closure_whole", without("closure_recursive", " WHERE o_orderkey < 200"))
-def closure_whole(spark, d):
-    return _reached(spark, d, table(spark, d, "orders"))
-
-
-def _reached(spark, d, seeds):
+    """What all orders lead to."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     edges = o.select(name("o", "o_orderkey").alias("src"), name("c", "o_custkey").alias("dst")).unionAll(c.select(name("c", "c_custkey"), name("n", "c_nationkey"))).unionAll(n.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
     known = edges.select(F.col("src").alias("uri")).unionAll(edges.select("dst")).distinct()
-    return corpus.closure(spark, edges, seeds.select(name("o", "o_orderkey").alias("uri")), known)
+    return corpus.closure(spark, edges, o.select(name("o", "o_orderkey").alias("uri")), known)
 
 
 @query("type_counts", "SELECT event_type AS nsid, count(*) AS n FROM events GROUP BY event_type")
@@ -216,19 +208,10 @@ def kb_candidates(spark, d):
     return kb.search_many(p.select(F.col("p_brand").alias("name"))).select("name", "id", "rank")
 
 
-@query("kb_neighbors", """SELECT l_partkey AS source, 'supplied-by' AS relation, l_suppkey AS target, s_name AS target_label FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey < 20)
+@query("kb_neighbors", """SELECT l_partkey AS source, 'supplied-by' AS relation, l_suppkey AS target, s_name AS target_label FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
 LEFT JOIN supplier ON l_suppkey = s_suppkey QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) <= 100""")
 def kb_neighbors(spark, d):
-    return _neighbors(spark, d, table(spark, d, "part").filter("p_partkey < 20"))
-
-
-@query("kb_neighbors_whole", without("kb_neighbors", " WHERE l_partkey < 20"))
-def kb_neighbors_whole(spark, d):
-    return _neighbors(spark, d, table(spark, d, "part"))
-
-
-def _neighbors(spark, d, parts):
+    """Up to a hundred neighbours, as many as the connector gives, of every part."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
     edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.lit("supplied-by").alias("relation"), F.col("l_suppkey").alias("target")).distinct()
-    ids = parts.select(F.col("p_partkey").alias("id"))
-    return KnowledgeBase(s, edges).neighbors(ids).select("source", "relation", "target", "target_label")
+    return KnowledgeBase(s, edges).neighbors(table(spark, d, "part").select(F.col("p_partkey").alias("id"))).select("source", "relation", "target", "target_label")

@@ -42,14 +42,18 @@ def cql_any(spark, d):
     return cql.cql(mapping.words(spark, d), "[]")
 
 
-@query("cql_two_token", f"WITH w AS ({mapping.WORDS}) SELECT a.layer_uri, a.token_index, a.label AS tok0, b.label AS tok1 FROM w a JOIN w b ON a.layer_uri = b.layer_uri AND b.token_index = a.token_index + 1 WHERE a.label = 'CAP' AND b.label = 'LONG'")
+#: Words with the two behind them; an index has one row in a layer.
+_AHEAD = f"""WITH w AS ({mapping.WORDS}), x AS (SELECT layer_uri, token_index, label, lead(token_index) OVER o AS i1, lead(label) OVER o AS l1, lead(value) OVER o AS v1, lead(token_index, 2) OVER o AS i2, lead(label, 2) OVER o AS l2
+FROM w WINDOW o AS (PARTITION BY layer_uri ORDER BY token_index))"""
+
+
+@query("cql_two_token", f"{_AHEAD} SELECT layer_uri, token_index, label AS tok0, l1 AS tok1 FROM x WHERE label = 'CAP' AND l1 = 'LONG' AND i1 = token_index + 1")
 def cql_two_token(spark, d):
     return cql.cql(mapping.words(spark, d), '[label="CAP"] [label="LONG"]')
 
 
-_THREE = f"""WITH w AS ({mapping.WORDS}) SELECT a.layer_uri, a.token_index, a.label AS tok0, b.label AS tok1, c.label AS tok2 FROM w a
-JOIN w b ON a.layer_uri = b.layer_uri AND b.token_index = a.token_index + 1 JOIN w c ON a.layer_uri = c.layer_uri AND c.token_index = a.token_index + 2
-WHERE a.label = 'SHORT' AND regexp_matches(b.value, '^th') AND c.label != 'CAP'"""
+_THREE = f"""{_AHEAD} SELECT layer_uri, token_index, label AS tok0, l1 AS tok1, l2 AS tok2 FROM x
+WHERE label = 'SHORT' AND regexp_matches(v1, '^th') AND l2 != 'CAP' AND i1 = token_index + 1 AND i2 = token_index + 2"""
 
 
 @query("cql_three_token_regex", _THREE)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslake.plans.tables import table  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -22,18 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def without(name: str, *cuts: str) -> str:
-    """The SQL of a query without these filters."""
-    sql = ORACLE_SQL[name]
-    for cut in cuts:
-        if cut not in sql:
-            raise ValueError(f"{name} has no filter {cut}")
-        sql = sql.replace(cut, "")
-    return sql
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from corpuslake.plans import queries_analytics, queries_corpus, queries_more, queries_sql, queries_text, queries_versions  # noqa: E402, F401
+from corpuslake.plans import queries_analytics, queries_corpus, queries_lists, queries_more, queries_sql, queries_store, queries_text, queries_versions  # noqa: E402, F401

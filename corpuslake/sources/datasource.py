@@ -17,19 +17,21 @@ def _files(path: str):
     return disk, sorted(f.path for f in disk.get_file_info(fs.FileSelector(root)) if f.is_file and f.path.endswith(".jsonl"))
 
 
-def _lines(disk, path: str):
-    with disk.open_input_stream(path) as stream:
-        rest = b""
-        while block := stream.read(1 << 20):
+def _lines(disk, path: str, start: int = 0, end: int | None = None):
+    with disk.open_input_file(path) as file:
+        file.seek(start)
+        rest, left = b"", None if end is None else end - start
+        while block := file.read(1 << 20 if left is None else min(left, 1 << 20)):
+            left = None if left is None else left - len(block)
             *whole, rest = (rest + block).split(b"\n")
             yield from whole
         if rest:
             yield rest
 
 
-def _objects(path: str, file: str):
+def _objects(path: str, part: _File):
     disk, _ = _files(path)
-    for line in _lines(disk, file):
+    for line in _lines(disk, part.file, part.start, part.end):
         try:
             value = json.loads(line)
         except ValueError:
@@ -39,7 +41,9 @@ def _objects(path: str, file: str):
 
 
 class _File(InputPartition):
-    def __init__(self, file: str, start: int = -1, end: int = -1):
+    """A file, from one byte to another (null: its end)."""
+
+    def __init__(self, file: str, start: int = 0, end: int | None = None):
         self.file, self.start, self.end = file, start, end
 
 
@@ -68,17 +72,20 @@ class _DumpReader(DataSourceReader):
         return [_File(f) for f in _files(self.path)[1]]
 
     def read(self, partition):
-        for row in _objects(self.path, partition.file):
+        for row in _objects(self.path, partition):
             uri = row.get("uri") or ""
             if self.nsid is None or (uri.removeprefix("at://").split("/") + [""])[1] == self.nsid:
                 yield uri, row.get("cid"), json.dumps(row.get("value"), ensure_ascii=False)
 
 
 class CommitLog(DataSource):
-    """``spark.readStream.format("commit_log")``: events of JSON-line files named in the order of their ``seq``.
+    """``spark.readStream.format("commit_log")``: events of JSON-line files that are named in the order of their ``seq``.
 
-    The offset is the last ``seq`` read; ``cursor`` starts behind one.  Several
-    events of one commit share a ``seq`` and arrive together.
+    The offset is the last file and how much of it was there, so a batch reads what
+    came since, the end of that file and the files behind it, and the driver reads
+    nothing but the folder's list.  Lines are written whole.  ``cursor`` passes over
+    events up to a ``seq``; events of one commit share theirs.  ``nsids`` (commas between
+    them) or ``prefix`` keep some collections only.
     """
 
     @classmethod
@@ -95,23 +102,30 @@ class CommitLog(DataSource):
 class _LogReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.cursor = options["path"], int(options.get("cursor", -1))
+        self.nsids, self.prefix = set(filter(None, options.get("nsids", "").split(","))), options.get("prefix", "")
 
     def initialOffset(self):  # noqa: N802
-        return {"seq": self.cursor}
+        return {"file": "", "bytes": 0}
 
     def latestOffset(self):  # noqa: N802
-        _, files = _files(self.path)
-        return {"seq": max((int(e.get("seq", -1)) for e in _objects(self.path, files[-1])), default=self.cursor) if files else self.cursor}
+        disk, files = _files(self.path)
+        return {"file": files[-1], "bytes": disk.get_file_info(files[-1]).size} if files else self.initialOffset()
 
     def partitions(self, start, end):
-        return [_File(f, start["seq"], end["seq"]) for f in _files(self.path)[1]]
+        _, files = _files(self.path)
+        later = [f for f in files if start["file"] <= f <= end["file"]]
+        parts = [_File(f, start["bytes"] if f == start["file"] else 0, end["bytes"] if f == end["file"] else None) for f in later]
+        return [p for p in parts if p.end is None or p.end > p.start]
 
     def read(self, partition):
-        for n, e in enumerate(_objects(self.path, partition.file)):
-            seq = int(e.get("seq", -1))
-            if partition.start < seq <= partition.end:
-                record = e.get("record")
-                yield seq, int(e.get("op_ord", n)), e.get("repo"), e.get("collection"), e.get("rkey"), e.get("action"), record if record is None or isinstance(record, str) else json.dumps(record)
+        places: dict[int, int] = {}
+        for e in _objects(self.path, partition):
+            seq, nsid = e.get("seq"), e.get("collection") or ""
+            if not isinstance(seq, int) or seq <= self.cursor or (self.nsids and nsid not in self.nsids) or not nsid.startswith(self.prefix):
+                continue
+            places[seq] = places.get(seq, -1) + 1
+            record = None if e.get("action") == "delete" else e.get("record")
+            yield seq, int(e.get("op_ord", places[seq])), e.get("repo"), nsid, e.get("rkey"), e.get("action"), record if record is None or isinstance(record, str) else json.dumps(record)
 
     def commit(self, end):
         pass

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.sources.files import Folder
+
 EVENT = "seq bigint, op_ord int, repo string, collection string, rkey string, action string, record string"
 
 
@@ -45,26 +47,78 @@ def apply_outcomes(index: DataFrame, found: DataFrame) -> DataFrame:
 
 
 class IndexWriter:
-    """``foreachBatch`` target: a new index version for each batch, named by batch number, so a repeated batch replaces itself."""
+    """``foreachBatch`` target: an index ``uri, record`` as a base and the changes of each batch since.
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    A batch reads the base and the changes behind it, by the uris that it has events
+    of, and writes its own changes and then a note that they are whole; readers take
+    noted batches only, and a repeated batch writes its changes anew.  Every
+    ``compact_every`` batches the changes are folded into a new base.  The old base
+    and its changes stay until the base after it is noted, for readers that hold them.
+    """
 
-    def path(self, batch: int) -> str:
-        return f"{self.folder}/version={batch:012d}"
+    ROWS = "uri string, record string, gone boolean"
+
+    def __init__(self, folder: str, compact_every: int = 20):
+        self.folder, self.compact_every = folder.rstrip("/"), compact_every
+
+    def _notes(self, spark: SparkSession) -> Folder:
+        return Folder(spark, f"{self.folder}/notes")
+
+    def _known(self, spark: SparkSession, before: int | None) -> tuple[int | None, list[int]]:
+        """The last base and the batches behind it."""
+        found = {"base": [], "batch": []}
+        for name in self._notes(spark).names():
+            kind, _, number = name.removesuffix(".json").partition("-")
+            if kind in found and number.isdigit() and (before is None or int(number) < before):
+                found[kind].append(int(number))
+        base = max(found["base"], default=None)
+        return base, sorted(n for n in found["batch"] if base is None or n > base)
+
+    def _changes(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """Base and changes with the number of the batch that made them."""
+        base, batches = self._known(spark, before)
+        rows = spark.createDataFrame([], f"{self.ROWS}, batch long")
+        folders = ([] if base is None else [(base, f"base-{base:012d}")]) + [(n, f"batch-{n:012d}") for n in batches]
+        for n, name in folders:
+            rows = rows.unionAll(spark.read.schema(self.ROWS).parquet(f"{self.folder}/{name}").withColumn("batch", F.lit(n).cast("long")))
+        return rows
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy("uri").agg(F.max_by(F.struct("record", "gone"), "batch").alias("l"))
+        return last.filter("not l.gone").select("uri", "l.record")
 
     def latest(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        disk = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in disk.listStatus(path)) if disk.exists(path) else []
-        known = [n for n in names if n.startswith("version=") and (before is None or int(n.split("=")[1]) < before)]
-        schema = "uri string, record string"
-        return spark.read.schema(schema).parquet(f"{self.folder}/{known[-1]}") if known else spark.createDataFrame([], schema)
+        """The index as the noted batches leave it."""
+        return self._last(self._changes(spark, before))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        index = self.latest(spark, number)
-        apply_outcomes(index, outcomes(batch, index)).write.mode("overwrite").parquet(self.path(number))
+        uri = F.concat(F.lit("at://"), "repo", F.lit("/"), "collection", F.lit("/"), "rkey")
+        known = self._changes(spark, number).join(batch.select(uri.alias("uri")).distinct(), "uri", "left_semi")
+        changed = outcomes(batch, self._last(known)).filter(F.col("outcome").isin("built", "removed"))
+        rows = changed.select("uri", "record", (F.col("outcome") == "removed").alias("gone"))
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batch-{number:012d}")
+        self._notes(spark).write(f"batch-{number:012d}.json", {"batch": number}, replace=True)
+        base, batches = self._known(spark, None)
+        if len(batches) >= self.compact_every:
+            self.compact(spark)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Fold all noted changes into a new base, and delete what the base before it stood on."""
+        base, batches = self._known(spark, None)
+        if not batches:
+            return
+        new = batches[-1]
+        self.latest(spark).withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{self.folder}/base-{new:012d}")
+        notes, rows = self._notes(spark), Folder(spark, self.folder)
+        notes.write(f"base-{new:012d}.json", {"base": new}, replace=True)
+        for name in notes.names():
+            kind, _, number = name.removesuffix(".json").partition("-")
+            old = number.isdigit() and base is not None and (int(number) < base or (kind == "batch" and int(number) == base))
+            if old:
+                notes.delete(name)
+                rows.delete(name.removesuffix(".json"))
 
 
 def update_index(events: DataFrame, folder: str, checkpoint: str):
