@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +29,43 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class _Cleanup:
+    """Shuffle files are deleted when a write ends, for as long as some thread of the session is writing a table."""
+
+    lock, writing = threading.Lock(), {}
+
+    def __init__(self, spark: SparkSession):
+        self.conf, self.key = spark.conf, id(spark._jsparkSession)
+
+    def __enter__(self):
+        with self.lock:
+            count, before = self.writing.get(self.key, (0, self.conf.get(_CLEANUP, None)))
+            self.writing[self.key] = (count + 1, before)
+            self.conf.set(_CLEANUP, "true")
+
+    def __exit__(self, *error):
+        with self.lock:
+            count, before = self.writing.pop(self.key)
+            if count > 1:
+                self.writing[self.key] = (count - 1, before)
+            elif before is None:
+                self.conf.unset(_CLEANUP)
+            else:
+                self.conf.set(_CLEANUP, before)
+
+
 class Workspace:
-    """A fresh folder under the shared root for the intermediate tables of one operator run."""
+    """A fresh folder under the shared root for the intermediate tables of one operator run.
+
+    Results are read from it lazily, so it stays while the driver's process lives and
+    is deleted when that ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._made: list[str] = []
+        atexit.register(self._delete)
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -43,18 +76,17 @@ class Workspace:
         The write's shuffle files are deleted when it has ended, as nothing else reads
         them; otherwise they stay until the driver happens to collect its garbage.
         """
-        path, before = self.folder(name), self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        path = self.folder(name)
+        with _Cleanup(self.spark):
             df.write.mode("overwrite").parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
         self._made.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
         """Delete intermediate tables that no later step reads."""
         for name in names:

@@ -192,19 +192,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(rows, np.array([float(r["y"] == 1) for r in got]))
 
 
-def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: bool = False) -> DataFrame:
-    """``id_col, held_out, score, predicted`` of every row; with ``keep`` all columns of ``docs`` and ``score`` instead.
+def _scored(docs: DataFrame, model: AdditiveModel, text_col: str, names: list[str], score: str) -> DataFrame:
+    return append_columns(docs, text_col, [T.StructField(score, T.DoubleType())], lambda texts: [model.score(feature_rows(texts))], names)
+
+
+def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``id_col, held_out, score, predicted`` of every row.
 
     A null text is scored as an empty one; null ids are scored and not held out;
-    repeated rows get equal scores; an empty table gives an empty result.
+    repeated rows get equal scores; an empty table gives an empty result; other
+    columns are ignored.
     """
-    names = [c for c in docs.columns if c != "score"] if keep else [id_col]
-    found = append_columns(docs, text_col, [T.StructField("score", T.DoubleType())], lambda texts: [model.score(feature_rows(texts))], names)
-    if keep:
-        return found
+    found = _scored(docs, model, text_col, [id_col], "score")
     return found.select(id_col, held_out(id_col, 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, as they are, whatever their columns are called."""
+    name = "score"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return _scored(docs, model, text_col, docs.columns, name).filter(F.col(name) >= threshold).drop(name)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
