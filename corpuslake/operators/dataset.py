@@ -17,6 +17,18 @@ class Dataset:
     def __init__(self, df: DataFrame, order: str | None = None, sized: bool = True):
         self.df, self.order, self.sized = df, order, sized and not df.isStreaming
 
+    @classmethod
+    def from_iterable(cls, spark, rows, schema: T.StructType | str, order: str = "place") -> Dataset:
+        """Rows in memory, numbered in their order as ``order``."""
+        kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        placed = [(k, *(r[f.name] if isinstance(r, dict) else r[i] for i, f in enumerate(kind))) for k, r in enumerate(rows)]
+        return cls(spark.createDataFrame(placed, T.StructType([T.StructField(order, T.LongType()), *kind.fields])), order)
+
+    @classmethod
+    def streaming(cls, df: DataFrame) -> Dataset:
+        """A sequence without a length: a stream, or a table that is not to be counted."""
+        return cls(df, None, False)
+
     def filter(self, condition: Column | str | Callable) -> Dataset:
         """A column condition, which Catalyst sees through, or a Python predicate on rows in Arrow batches."""
         if not callable(condition) or isinstance(condition, Column):

@@ -77,3 +77,15 @@ def brat_text(rows: dict[str, DataFrame], key: str = "source") -> DataFrame:
         .unionByName(attributes.select(key, F.lit(2).alias("part"), "n", F.rtrim(F.format_string("A%d\t%s %s %s", "n", "name", "target_new", "value")).alias("line")))
     )
     return lines.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "n", "line"))), lambda x: x["line"]), "\n").alias("content"))
+
+
+class ConlluCodec:
+    """Ten-column token lines as an adapter."""
+
+    decode, encode = staticmethod(conllu_tokens), staticmethod(conllu_text)
+
+
+class BratCodec:
+    """Standoff annotations as an adapter."""
+
+    decode, encode = staticmethod(brat_rows), staticmethod(brat_text)

@@ -67,25 +67,45 @@ def shards(view: DataFrame, order: str, size: int = 1000) -> DataFrame:
     return placed.withColumn("shard", F.floor(F.col("place") / size).cast("long")).withColumn("key", F.lpad((F.col("place") % size).cast("string"), 8, "0"))
 
 
-def write_shards(view: DataFrame, order: str, size: int = 1000) -> DataFrame:
-    """``shard, n, tar``: tar files with a JSON member for each row, one task for each shard."""
+def write_shards(view: DataFrame, order: str, size: int = 1000, members: dict[str, str] | None = None) -> DataFrame:
+    """``shard, n, tar``: tar files with a JSON member for each row, one task for each shard.
+
+    ``members`` names binary columns by file ending: their contents become members of
+    their own beside the JSON, which then lacks them; a null one is left out.
+    """
+    members = members or {}
+    if missing := [c for c in members.values() if c not in view.columns]:
+        raise KeyError(f"no column {', '.join(missing)}")
 
     def pack(key, rows):
         import pandas as pd
 
         out = io.BytesIO()
         with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for name, value in sorted(zip(rows["key"], rows["value"], strict=True)):
-                data = value.encode()
-                info = tarfile.TarInfo(f"{name}.json")
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
+            for row in rows.sort_values("key").itertuples():
+                files = {"json": row.value.encode()} | {ending: row.media[k] for k, ending in enumerate(members)}
+                for ending, data in sorted(files.items()):
+                    if data is not None:
+                        info = tarfile.TarInfo(f"{row.key}.{ending}")
+                        info.size = len(data)
+                        tar.addfile(info, io.BytesIO(data))
         return pd.DataFrame({"shard": [key[0]], "n": [len(rows)], "tar": [out.getvalue()]})
 
-    value = F.to_json(F.struct(*view.columns))
-    return shards(view, order, size).select("shard", "key", value.alias("value")).groupBy("shard").applyInPandas(pack, "shard long, n long, tar binary")
+    value = F.to_json(F.struct(*(c for c in view.columns if c not in members.values())))
+    media = F.array(*members.values()).cast("array<binary>") if members else F.array().cast("array<binary>")
+    return shards(view, order, size).select("shard", "key", value.alias("value"), media.alias("media")).groupBy("shard").applyInPandas(pack, "shard long, n long, tar binary")
 
 
 def provenance(name: str, revision: str, counts: dict[str, int]) -> str:
     """A card for a published set, as JSON."""
     return json.dumps({"dataset": name, "revision": revision, "views": counts}, sort_keys=True)
+
+
+def log_revision(spark, folder: str, run: str, revision: str, counts: dict[str, int], **notes: str) -> None:
+    """Append what a training run was fed with to a table: the revision, the views' rows and any notes."""
+    row = [(run, revision, counts, {k: str(v) for k, v in notes.items()})]
+    spark.createDataFrame(row, "run string, revision string, counts map<string, long>, notes map<string, string>").withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(folder)
+
+
+def revisions_of(spark, folder: str, run: str) -> DataFrame:
+    return spark.read.parquet(folder).filter(F.col("run") == run).orderBy("logged_at")

@@ -41,14 +41,21 @@ def blob_ref(value: str) -> F.Column:
 
 
 class Registry:
-    """Named adapters; what was added last under a name holds."""
+    """Named adapters; what was added last under a name holds.  With a ``port``, what an adapter makes must offer it."""
 
-    def __init__(self):
+    def __init__(self, port: type | None = None):
+        self.port = port
         self._found: dict[str, Callable] = {}
 
     def add(self, name: str, make: Callable) -> None:
         self._found[name] = make
 
+    def make(self, name: str, *args, **options):
+        made = self.get(name)(*args, **options)
+        if self.port is not None and not isinstance(made, self.port):
+            raise TypeError(f"{name} is no {self.port.__name__}")
+        return made
+
     def get(self, name: str) -> Callable:
         if name not in self._found:
             raise KeyError(f"no adapter {name}; there are {', '.join(self.available())}")
