@@ -219,6 +219,17 @@ def token_spans(annotations: DataFrame, words: DataFrame) -> DataFrame:
     return annotations.join(span, ["sentence", "annotation_index"], "left").withColumn("byte_start", F.coalesce("_s", "byte_start")).withColumn("byte_end", F.coalesce("_e", "byte_end")).drop("_s", "_e")
 
 
+def span_overlay(annotations: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
+    """``sentence, lo, hi, label, lane``: a text's annotations as spans of characters, packed into lanes.
+
+    ``annotations`` is what ``token_spans`` takes, with ``label``; ``texts`` has
+    ``sentence, text``.  Annotations without a place in the text are left out.
+    """
+    placed = token_spans(annotations, words).filter("byte_start is not null and byte_end is not null").join(texts.select("sentence", "text"), "sentence")
+    spans = char_spans(placed, "text").select("sentence", F.col("char_start").alias("lo"), F.col("char_end").alias("hi"), "label")
+    return lanes(spans.filter("hi > lo"), "sentence")
+
+
 def overlaps(left: DataFrame, right: DataFrame, key: str, width: int = 1024) -> DataFrame:
     """Pairs of half-open spans of one key that overlap, by an equi-join on shared ``width``-wide stretches."""
     stretch = lambda p: F.explode(F.sequence(F.floor(F.col(f"{p}lo") / width), F.floor((F.greatest(F.col(f"{p}hi"), F.col(f"{p}lo") + 1) - 1) / width))).alias("_s")

@@ -170,6 +170,15 @@ def field_changes(pairs: DataFrame, key: str = "uri") -> DataFrame:
     return pairs.select(F.col(key).cast("string").alias(key), "old", "new").mapInArrow(run, f"{key} string, field_path string, change_type string, old_value string, new_value string")
 
 
+def record_changes(base: DataFrame, head: DataFrame, unchanged: bool = False) -> DataFrame:
+    """``uri, record_change, changes``: what became of each record, with its changed fields by path."""
+    records = diff(base, head, unchanged=unchanged)
+    item = F.struct("field_path", "change_type", "old_value", "new_value")
+    per = field_changes(records).groupBy("uri").agg(F.sort_array(F.collect_list(item)).alias("changes"))
+    kind = per.schema["changes"].dataType
+    return records.select("uri", F.col("status").alias("record_change")).join(per, "uri", "left").withColumn("changes", F.coalesce("changes", F.array().cast(kind)))
+
+
 def bump_level(records: DataFrame, changes: DataFrame) -> DataFrame:
     """One row ``level``: major if a record or field is gone or an identity changed, minor if one came, else patch, none if equal."""
     leaf = F.element_at(F.split("field_path", "/"), -1)

@@ -115,6 +115,24 @@ def changelog_entries(spark, d):
     return _entries(spark, d).select("subject", "record_change", "level", "version")
 
 
+@query("record_change_lists", f"{_CHANGES}, n AS (SELECT uri, count(*) AS n, string_agg(field_path, ',' ORDER BY field_path) AS fields FROM ch GROUP BY uri) SELECT x.uri, x.status AS record_change, coalesce(n, 0) AS n, coalesce(fields, '') AS fields FROM x LEFT JOIN n ON x.uri = n.uri")
+def record_change_lists(spark, d):
+    found = versions.record_changes(orders_json(spark, d), orders_json(spark, d, True), unchanged=True)
+    return found.select("uri", "record_change", F.size("changes").cast("long").alias("n"), F.array_join(F.transform("changes", lambda c: c["field_path"]), ",").alias("fields"))
+
+
+@query("span_overlay", """SELECT p_partkey AS sentence, CASE k WHEN 0 THEN 0 ELSE length(w[1]) + 1 END AS lo, CASE k WHEN 0 THEN length(p_name) ELSE length(p_name) END AS hi, CASE k WHEN 0 THEN 'whole' ELSE 'last' END AS label, CAST(CASE k WHEN 0 THEN 1 ELSE 0 END AS BIGINT) AS lane
+FROM (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w, unnest([0, 1]) AS k FROM part) WHERE len(w) = 2""")
+def span_overlay(spark, d):
+    """Names of two words: an annotation of both, and one of the second."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("sentence"), F.col("p_name").alias("text"), F.split("p_name", " ").alias("w")).filter("size(w) = 2")
+    first = F.length(F.col("w")[0])
+    words = p.select("sentence", F.inline(F.array(F.struct(F.lit(0).alias("token_index"), F.lit(0).alias("byte_start"), first.alias("byte_end")), F.struct(F.lit(1).alias("token_index"), (first + 1).alias("byte_start"), F.length("text").alias("byte_end")))))
+    rows = F.array(F.struct(F.lit(0).alias("annotation_index"), F.array(F.lit(0), F.lit(1)).alias("token_indexes"), F.lit("whole").alias("label")), F.struct(F.lit(1).alias("annotation_index"), F.array(F.lit(1)).alias("token_indexes"), F.lit("last").alias("label")))
+    annotations = p.select("sentence", F.inline(rows), F.lit(None).cast("int").alias("byte_start"), F.lit(None).cast("int").alias("byte_end"))
+    return analytics.span_overlay(annotations, words, p)
+
+
 @query("changelog_subject", "SELECT 'at://shop/sales.order/35' AS subject, 'changed' AS record_change, 'patch' AS level, '3.1.1' AS version")
 def changelog_subject(spark, d):
     return versions.generate_entry(orders_json(spark, d), orders_json(spark, d, True), "at://shop/sales.order/35", "3.1.0").select("subject", "record_change", "level", "version")

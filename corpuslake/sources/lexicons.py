@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import types as T
 
 _PLAIN = {"string": T.StringType(), "integer": T.LongType(), "boolean": T.BooleanType(), "bytes": T.BinaryType(), "cid-link": T.StringType(), "number": T.DoubleType()}
@@ -48,3 +51,13 @@ def drift(old: dict[str, dict], new: dict[str, dict]) -> list[tuple[str, str]]:
     a, b = records(old), records(new)
     found = [(n, "removed") for n in a - b] + [(n, "added") for n in b - a]
     return sorted(found + [(n, "changed") for n in a & b if schema_of(old, n) != schema_of(new, n)])
+
+
+def manifest(lexicons: dict[str, dict]) -> dict:
+    """What a set of lexicons is: a digest of all of them, and how many definitions of each type they have."""
+    text = json.dumps(lexicons, sort_keys=True, separators=(",", ":"))
+    counts: dict[str, int] = {}
+    for doc in lexicons.values():
+        for body in doc.get("defs", {}).values():
+            counts[body.get("type", "")] = counts.get(body.get("type", ""), 0) + 1
+    return {"sha256": hashlib.sha256(text.encode()).hexdigest(), "lexicons": len(lexicons), "definitions": dict(sorted(counts.items()))}

@@ -8,6 +8,7 @@ import tarfile
 import pytest
 from corpuslake.__main__ import main
 from corpuslake.operators.dataset import Dataset
+from corpuslake.operators import media
 from corpuslake.operators.media import BlobCache
 from corpuslake.sources import archives, codecs, exporters, knowledge, lexicons, ports, records
 from pyspark.sql import functions as F
@@ -80,6 +81,17 @@ def test_archives(spark):
     assert got["at://did:own:1/x.y/1"].cid == str(first) and archives.plain({"a": [first]}) == {"a": [{"$link": str(first)}]}
 
 
+def test_content_ids(spark):
+    """Against the encoder above, for values whose keys are in order already."""
+    value = {"a": [1, -300, 2.5, True, None], "bb": {"$bytes": "AQI"}, "ccc": {"deep": "é" * 300}, "dddd": 1 << 33}
+    known = block({"a": [1, -300, "x", True, None], "bb": b"\1\2", "ccc": {"deep": "é" * 300}, "dddd": 1 << 33})
+    assert archives.record_cid(json.dumps({**value, "a": [1, -300, "x", True, None]})) == str(known) and str(known).startswith("bafyrei")
+    assert archives.read_cbor(archives.write_cbor({**value, "bb": {"$link": str(known)}}))[0] == {**value, "bb": known}
+    assert archives.record_cid('{"zz":1,"b":2,"aa":3}') == archives.record_cid('{"b":2,"aa":3,"zz":1}')
+    rows = archives.with_cids(spark.createDataFrame([("u", "old", '{"a":1}'), ("v", None, "{"), ("w", None, None)], "uri string, cid string, value string")).collect()
+    assert [r.cid for r in rows] == [archives.record_cid('{"a": 1}'), None, None]
+
+
 def test_lexicons():
     docs = {
         "x.thing": {"defs": {"main": {"type": "record", "record": {"type": "object", "required": ["name"], "properties": {
@@ -92,6 +104,7 @@ def test_lexicons():
     assert found["parts"].dataType == T.ArrayType(T.StructType([T.StructField("at", T.BooleanType())])) and found["home"].dataType["lat"].dataType == T.StringType()
     assert found["clip"].dataType == lexicons.BLOB and found["any"].dataType == T.StringType() and isinstance(found["loop"].dataType, T.StructType)
     other = json.loads(json.dumps(docs).replace('"count": {"type": "integer"}', '"count": {"type": "string"}'))
+    assert lexicons.manifest(docs)["definitions"] == {"object": 2, "record": 1} and lexicons.manifest(docs)["sha256"] != lexicons.manifest(other)["sha256"]
     assert lexicons.drift(docs, other) == [("x.thing", "changed")] and lexicons.drift({}, docs) == [("x.thing", "added")] and lexicons.drift(docs, docs) == []
 
 
@@ -150,3 +163,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert out.out.splitlines() == ["source\tleft\tmatch\tright", "a\tone \ttwo\t two"] and "more than 1" in out.err
     assert main([str(tmp_path), "tables"], spark) == 0 and capsys.readouterr().out == "expressions\tid\ttext\n"
     assert main([str(tmp_path), "sql", "DROP VIEW expressions"], spark) == 2 and "only queries" in capsys.readouterr().err
+
+
+def test_sounds(spark):
+    import wave
+
+    def sound(width, frames):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as file:
+            file.setnchannels(2)
+            file.setsampwidth(width)
+            file.setframerate(8000)
+            file.writeframes(frames)
+        return bytearray(out.getvalue())
+
+    samples = {1: [-128, 0, 127, 1], 2: [-30000, 0, 30000, 1], 3: [-8_000_000, 0, 8_000_000, 1], 4: [-(2**31), 0, 2**31 - 1, 1]}
+    frames = {w: b"".join((s + 128 * (w == 1)).to_bytes(w, "little", signed=w > 1) for s in own) for w, own in samples.items()}
+    rows = media.decode_sounds(spark.createDataFrame([(str(w), sound(w, f)) for w, f in frames.items()] + [("bad", bytearray(b"RIFF")), ("none", None)], "key string, content binary")).collect()
+    got = {r.key: r for r in rows}
+    assert all((got[str(w)].rate, got[str(w)].channels, got[str(w)].samples) == (8000, 2, own) for w, own in samples.items())
+    assert got["bad"].samples is None and got["bad"].error and got["none"].error
