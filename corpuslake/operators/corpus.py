@@ -85,9 +85,10 @@ def lineage_cut(spark):
     beside its warehouse.
     """
     context = spark.sparkContext
-    if not (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+    if not context.getCheckpointDir():
         local = context.master.split("[")[0] == "local"
-        context.setCheckpointDir("file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        own = "file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return lambda df: df.checkpoint()
 
 
