@@ -10,9 +10,11 @@ Each pass gives every class a code of concatenated random hyperplane hashes and
 the classes of a label by it lexicographically; every vector is compared with its next
 ``window`` neighbours, across the ends of partitions too.  A task reduces its verified
 pairs to a spanning forest, and all forests are united to components.  Links never
-leave a component, so the links of a vector are then counted within its component, in
-blocks of ``block`` vectors, so that the members of a large one are spread over tasks;
-pairs are counted and never listed.
+leave a component, so the links of a vector are then counted within its component; pairs
+are counted and never listed.  Of a component of more than ``block`` classes, those
+within half the threshold's angle of its centre all link with each other, which needs
+no products; the others are compared with the whole component, in blocks of ``block``
+classes dealt over tasks.
 """
 
 from __future__ import annotations
@@ -64,6 +66,11 @@ def _sums(kind: str):
     return run
 
 
+def _total(rows: pd.DataFrame) -> pd.DataFrame:
+    """Partial sums of a component to its centre, not yet of unit length."""
+    return pd.DataFrame({"component": rows["group"].iloc[:1], "centre": [sum(np.frombuffer(t, np.float64) for t in rows["total"]).tobytes()]})
+
+
 def passes_for(n: int, shared: float, threshold: float, window: int, recall: float) -> int:
     """Passes that find an isolated pair at the threshold among ``n`` classes whose mean has length ``shared``.
 
@@ -174,23 +181,48 @@ def _windows(kind: str, window: int, threshold: float, ends: bool = True):
 
 
 def _count(kind: str, threshold: float):
-    """Rows of one pair of blocks to the copies that each row links to in the other block."""
+    """Rows of a small component to the copies of other classes that each class links to."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        vectors = _unit(_stack(rows["vector"], kind))
+        near = _close(vectors, vectors, threshold).astype(np.int64)
+        np.fill_diagonal(near, 0)
+        return pd.DataFrame({"id": rows["id"], "links": near @ rows["copies"].to_numpy()})
+
+    return run
+
+
+def _near_centre(kind: str, threshold: float):
+    """Classes with the sum of their component's unit vectors to the same with ``core``: whether they are near its centre."""
+    half = np.cos(np.arccos(threshold) / 2 - 1e-7)
+
+    def run(batches):
+        for batch in batches:
+            vectors, centres = _unit(_stack(batch.column(3), kind)), _stack(batch.column(4), "<f8")
+            size = np.sqrt((centres * centres).sum(axis=1))
+            core = _dots(vectors, centres) >= half * np.where(size > 0, size, np.inf)
+            yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array(core)], ["component", "id", "copies", "vector", "core"])
+
+    return run
+
+
+def _count_others(kind: str, threshold: float):
+    """Rows of a block of a component and of a block of its classes far from the centre to the links between them, of both sides."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["part"] == rows["low"]], rows[rows["part"] == rows["high"]]
-        a, b = _unit(_stack(left["vector"], kind)) if len(left) else np.zeros((0, 1)), _unit(_stack(right["vector"], kind)) if len(right) else np.zeros((0, 1))
-        if not len(a) or not len(b):
+        whole, far = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if not len(whole) or not len(far):
             return pd.DataFrame({"id": [], "links": []}).astype("int64")
-        near = _close(a, b, threshold).astype(np.int64)
-        if rows["low"].iloc[0] == rows["high"].iloc[0]:
-            np.fill_diagonal(near, 0)
-            return pd.DataFrame({"id": left["id"], "links": near @ left["copies"].to_numpy()})
-        return pd.DataFrame({"id": [*left["id"], *right["id"]], "links": [*(near @ right["copies"].to_numpy()), *(near.T @ left["copies"].to_numpy())]})
+        near = _close(_unit(_stack(whole["vector"], kind)), _unit(_stack(far["vector"], kind)), threshold).astype(np.int64)
+        near[whole["id"].to_numpy()[:, None] == far["id"].to_numpy()] = 0
+        of_far = near.T @ whole["copies"].to_numpy()
+        of_core = (near @ far["copies"].to_numpy())[whole["core"].to_numpy(bool)]  # the others of the block are counted from the far side
+        return pd.DataFrame({"id": [*whole["id"][whole["core"]], *far["id"]], "links": [*of_core, *of_far]})
 
     return run
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = 16, bits: int = 32, window: int = 32, block: int = 2048, seed: int = 7, recall: float = 0.9999, edge_rows: int = 1 << 17) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = 16, bits: int = 32, window: int = 32, block: int = 512, seed: int = 7, recall: float = 0.9999, edge_rows: int = 1 << 17) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row.
 
     Rows link when their labels are equal and not null and the cosine, in double
@@ -238,14 +270,26 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     parts = connected_components(forest, work).withColumnRenamed("node", "id")
     members = work.table(classed.join(parts, "id"), "members")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (
-        members.join(sizes, "component")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", other)
-        .select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "copies", "vector")
-    )
-    counted = dealt.groupBy("component", "low", "high").applyInPandas(_count(kind, threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    sized = members.join(sizes, "component").select("component", "id", "copies", "vector", "blocks")
+    per_class = "id long, links long"
+    counted = sized.filter("blocks = 1").select("component", "id", "copies", "vector").groupBy("component").applyInPandas(_count(kind, threshold), per_class)
+    large = sized.filter("blocks > 1")
+    if not large.isEmpty():
+        sums = large.select(F.col("component").alias("group"), F.octet_length("vector").alias("dim"), "vector").mapInArrow(_sums(kind), "group long, dim int, n long, total binary")
+        centres = sums.groupBy("group").applyInPandas(_total, "component long, centre binary")
+        placed = large.join(centres, "component").select("component", "id", "copies", "vector", "centre")
+        placed = work.table(placed.mapInArrow(_near_centre(kind, threshold), "component long, id long, copies long, vector binary, core boolean"), "placed")
+        cores = placed.filter("core").groupBy("component").agg(F.sum("copies").alias("all"))
+        inside = placed.filter("core").join(cores, "component").select("id", (F.col("all") - F.col("copies")).alias("links"))
+        counts = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("core")) / block).cast("int").alias("far"))
+        dealt = placed.join(counts.filter("far > 0"), "component")
+        deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        whole = dealt.select("component", deal("blocks").alias("low"), each("far").alias("high"), F.lit(0).alias("side"), "id", "copies", "vector", "core")
+        far = dealt.filter("not core").select("component", each("blocks").alias("low"), deal("far").alias("high"), F.lit(1).alias("side"), "id", "copies", "vector", "core")
+        between = whole.unionAll(far).groupBy("component", "low", "high").applyInPandas(_count_others(kind, threshold), per_class)
+        counted = counted.unionAll(inside).unionAll(between)
+    counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
     about = members.select("id", "component").join(counted, "id")
     known = work.table(classed.select("id", "copies").join(about, "id", "left").filter("copies > 1 or component is not null"), "known")
     of_class = classes.select("group", "v", F.col("first")).join(known.withColumnRenamed("id", "first"), "first")
