@@ -70,14 +70,24 @@ def tag_heading(subkind: Column, kind: Column) -> Column:
 
 
 def syntax_grid(words: DataFrame, tags: DataFrame, headings: list[str], relations: DataFrame | None = None) -> DataFrame:
-    """Words with a column for each heading and their head and relation; heads count from 1, nothing is ``_``."""
+    """Words with a column for each heading and their head and relation; heads count from 1, nothing is ``_``.
+
+    A token has one tag under a heading, as ``tag_values`` makes of several.  Words, tags
+    and relations meet in one aggregation by token.
+    """
+    keys = ["sentence", "token_index"]
     order = [h for h in HEADING_ORDER if h in headings] + sorted(h for h in headings if h not in HEADING_ORDER and h != "FEATS") + [h for h in headings if h == "FEATS"]
-    wide = tags.groupBy("sentence", "token_index").pivot("heading", order).agg(F.first("tag"))
-    grid = words.join(wide, ["sentence", "token_index"], "left")
+    none = F.lit(None).cast("string")
+    shape = lambda df, form=none, heading=none, tag=none, head=none.cast("long"), deprel=none: df.select(*keys, form.alias("form"), heading.alias("heading"), tag.alias("tag"), head.cast("long").alias("head"), deprel.alias("deprel"))
+    rows = shape(words, F.coalesce("form", F.lit(""))).unionAll(shape(tags.filter("tag is not null"), heading=F.col("heading"), tag=F.col("tag")))
+    if relations is not None:
+        rows = rows.unionAll(shape(relations, head=F.col("head"), deprel=F.col("deprel")))
+    cells = [F.max(F.when(F.col("heading") == h, F.col("tag"))).alias(h) for h in order]
+    grid = rows.groupBy(*keys).agg(F.max("form").alias("form"), *cells, F.max("head").alias("_head"), F.max("deprel").alias("_deprel")).filter("form is not null")
     if relations is not None:
-        grid = grid.join(relations, ["sentence", "token_index"], "left").withColumn("HEAD", F.when(F.col("head") < 0, 0).otherwise(F.col("head") + 1).cast("string")).withColumn("DEPREL", F.col("deprel"))
+        grid = grid.withColumn("HEAD", F.when(F.col("_head") < 0, 0).otherwise(F.col("_head") + 1).cast("string")).withColumn("DEPREL", F.col("_deprel"))
         order = [*order, "HEAD", "DEPREL"]
-    return grid.select("sentence", "token_index", "form", *[F.coalesce(F.nullif(h, F.lit("")), F.lit("_")).alias(h) for h in order])
+    return grid.select(*keys, "form", *[F.coalesce(F.nullif(h, F.lit("")), F.lit("_")).alias(h) for h in order])
 
 
 def tree_walk(sentence: np.ndarray, token: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,9 +26,17 @@ def syntax_grid_pivot(spark, d):
     w, keys = _documents(spark, d), ["sentence", "token_index"]
     lemma = F.when(F.col("value").rlike("^[A-Za-z]{6}"), F.upper(F.substring("value", 1, 3)))
     rows = F.inline(F.filter(F.array(F.struct(F.lit("pos").alias("subkind"), F.col("label").alias("value")), F.struct(F.lit("lemma").alias("subkind"), lemma.alias("value"))), lambda x: x["value"].isNotNull()))
-    tags = w.select(*keys, rows).select(*keys, analytics.tag_heading(F.col("subkind"), F.lit("token-tag")).alias("heading"), F.col("value"), F.lit(None).cast("string").alias("label"))
+    tags = w.select(*keys, rows).select(*keys, analytics.tag_heading(F.col("subkind"), F.lit("token-tag")).alias("heading"), F.col("value").alias("tag"))
     relations = w.select(*keys, (F.col("token_index") - 1).alias("head"), F.lit("dep").alias("deprel"))
-    return analytics.syntax_grid(w.select(*keys, F.col("value").alias("form")), analytics.tag_values(tags, [*keys, "heading"]), ["LEMMA", "UPOS"], relations)
+    return analytics.syntax_grid(w.select(*keys, F.col("value").alias("form")), tags, ["LEMMA", "UPOS"], relations)
+
+
+@query("tag_values", _WORDS + " SELECT layer_uri AS sentence, token_index // 3 AS token_index, string_agg(label, '|' ORDER BY label) AS tag FROM s GROUP BY layer_uri, token_index // 3")
+def tag_values(spark, d):
+    """Three words' labels as the values of one token; an empty value gives way to the label."""
+    w = _documents(spark, d)
+    rows = w.select("sentence", F.floor(F.col("token_index") / 3).alias("token_index"), F.when(F.col("token_index") % 2 == 0, "").otherwise(F.col("label")).alias("value"), "label")
+    return analytics.tag_values(rows, ["sentence", "token_index"])
 
 
 @query("dependency_relations", _WORDS + " SELECT layer_uri, token_index // 2 AS token_index, arg_max(CASE WHEN token_index % 3 = 0 THEN -1 ELSE token_index END, token_index) AS head, arg_max(label, token_index) AS deprel FROM s GROUP BY layer_uri, token_index // 2")
