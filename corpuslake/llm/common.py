@@ -29,6 +29,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in slices, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 class _Cleanup:
     """Shuffle files are deleted when a write ends, for as long as some thread of the session is writing a table."""
 
@@ -109,7 +116,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list, make, keep: list[
     names = [*keep, *(f.name for f in fields)]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             made = make(batch.column(len(keep)).to_pylist())
             yield pa.record_batch([*(batch.column(k) for k in range(len(keep))), *(pa.array(v, type=t) for v, t in zip(made, kinds, strict=True))], names)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import Workspace
+from corpuslake.llm.common import Workspace, sliced
 from corpuslake.llm.tokens import END_ID, default_tokenizer, encoder
 
 #: A piece inside a bin.
@@ -165,7 +165,7 @@ def pack(df: DataFrame, size: int = 1024, tokenizer: str | None = None, id_col:
             bins = _round(table["length"].astype(np.int64), [r.tobytes() for r in table], 0, place * 4096 + lots, False, size, slack, carry)
             return pa.RecordBatch.from_pandas(bins, preserve_index=False)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 pieces += pieces_of(key, enc.raw(text) + end, size)
             if len(pieces) >= _LOT:  # a task's share is packed in bounded lots

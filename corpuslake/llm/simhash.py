@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.common import Workspace
+from corpuslake.llm.common import Workspace, sliced
 from corpuslake.llm.components import connected_components
 
 _CHUNK = 1 << 16
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col, fp``: fingerprints as signed 64-bit numbers."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             yield pa.record_batch([batch.column(0), pa.array(_signed([fingerprint(t, words) for t in texts]))], ["id", "fp"])
 

@@ -25,62 +25,90 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import Workspace
+from corpuslake.llm.common import Workspace, sliced
 from corpuslake.llm.tokens import END_ID, default_tokenizer, encoder
 
 MAGIC, VERSION, BLOCK = b"CLTF", 1, 256
+#: So many blocks are packed or unpacked at once.
+_AT_ONCE = 512
 _HEAD = struct.Struct("<4sIIIQQQ")
 _BLOCK_HEAD = struct.Struct("<IBH")
 
 
+def _word(width: int) -> np.dtype:
+    """The smallest big-endian number that holds so many bits."""
+    return np.dtype(">u1" if width <= 8 else ">u2" if width <= 16 else ">u4")
+
+
 def pack_ids(ids: np.ndarray, percentile: float = 90.0) -> tuple[np.ndarray, bytes]:
     """Block starts and block bytes of unsigned 32-bit ids; a short last block is filled with its own last id."""
-    if not len(ids):
-        return np.zeros(0, "<u8"), b""
+    parts = [_pack(ids[at : at + _AT_ONCE * BLOCK], percentile) for at in range(0, len(ids), _AT_ONCE * BLOCK)]
+    before = np.cumsum([0, *(len(data) for _, data in parts)])
+    return np.concatenate([np.zeros(0, "<u8"), *(starts + np.uint64(n) for (starts, _), n in zip(parts, before, strict=False))]), b"".join(data for _, data in parts)
+
+
+def _pack(ids: np.ndarray, percentile: float) -> tuple[np.ndarray, bytes]:
     whole = -(-len(ids) // BLOCK)
     full = np.full(whole * BLOCK, ids[-1], "<u4")
     full[: len(ids)] = ids
     full = full.reshape(whole, BLOCK)
     low = full.min(axis=1)
     rest = full - low[:, None]
-    cut = np.sort(rest, axis=1)[:, min(BLOCK - 1, int(BLOCK * percentile / 100))]
+    at = min(BLOCK - 1, int(BLOCK * percentile / 100))
+    cut = np.partition(rest, at, axis=1)[:, at]
     width = np.where(cut > 0, np.floor(np.log2(np.maximum(cut, 1))).astype(np.int64) + 1, 0)
-    out: list[bytes] = [b""] * whole
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        values = rest[rows]
-        late = (values >> np.uint32(w)) > 0 if w < 32 else np.zeros(values.shape, bool)
-        bits = np.unpackbits(np.where(late, 0, values).astype(">u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2)
-        packed = np.packbits(bits[:, :, 32 - w :].reshape(len(rows), BLOCK * w), axis=1)
-        for k, r in enumerate(rows):
-            where = np.flatnonzero(late[k])
-            out[r] = _BLOCK_HEAD.pack(low[r], w, len(where)) + packed[k].tobytes() + where.astype(np.uint8).tobytes() + values[k][where].astype("<u4").tobytes()
-    starts = np.zeros(whole, "<u8")
-    starts[1:] = np.cumsum([len(x) for x in out[:-1]], dtype=np.uint64)
-    return starts, b"".join(out)
+    late = rest.astype(np.uint64) >> width.astype(np.uint64)[:, None] > 0
+    count = late.sum(axis=1)
+    begin = _BLOCK_HEAD.size + width * BLOCK // 8  # of a block's exceptions, in the block
+    size = begin + 5 * count
+    starts = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    head = np.zeros(whole, np.dtype([("low", "<u4"), ("width", "u1"), ("late", "<u2")]))
+    head["low"], head["width"], head["late"] = low, width, count
+    out[starts[:, None] + np.arange(_BLOCK_HEAD.size)] = head.view(np.uint8).reshape(whole, -1)
+    for w in np.unique(width[width > 0]).tolist():
+        rows, word = np.flatnonzero(width == w), _word(w)
+        values = np.where(late[rows], 0, rest[rows]).astype(word)
+        if 8 * word.itemsize == w:
+            packed = values.view(np.uint8).reshape(len(rows), -1)
+        else:
+            bits = np.unpackbits(values.view(np.uint8).reshape(len(rows), BLOCK, word.itemsize), axis=2)
+            packed = np.packbits(bits[:, :, 8 * word.itemsize - w :].reshape(len(rows), BLOCK * w), axis=1)
+        out[starts[rows][:, None] + _BLOCK_HEAD.size + np.arange(w * BLOCK // 8)] = packed
+    row, place = np.nonzero(late)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    out[starts[row] + begin[row] + nth] = place
+    values = np.ascontiguousarray(rest[row, place], "<u4").view(np.uint8).reshape(-1, 4)
+    out[(starts[row] + begin[row] + count[row] + 4 * nth)[:, None] + np.arange(4)] = values
+    return starts.astype("<u8"), out.tobytes()
 
 
 def unpack_ids(data: memoryview | bytes, starts: np.ndarray, count: int) -> np.ndarray:
     """The first ``count`` ids of the blocks at ``starts``."""
     data = np.frombuffer(data, np.uint8)
+    return np.concatenate([np.zeros(0, "<u4"), *(_unpack(data, starts[at : at + _AT_ONCE]) for at in range(0, len(starts), _AT_ONCE))])[:count]
+
+
+def _unpack(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     starts = starts.astype(np.int64)
     head = data[starts[:, None] + np.arange(_BLOCK_HEAD.size)]
     low = head[:, :4].copy().view("<u4").ravel()
     width, late = head[:, 4].astype(np.int64), head[:, 5:7].copy().view("<u2").ravel().astype(np.int64)
-    out = np.empty((len(starts), BLOCK), "<u4")
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
+    out = np.zeros((len(starts), BLOCK), "<u4")
+    for w in np.unique(width[width > 0]).tolist():
+        rows, word = np.flatnonzero(width == w), _word(w)
         packed = data[starts[rows][:, None] + _BLOCK_HEAD.size + np.arange(w * BLOCK // 8)]
-        bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
-        if w:
-            bits[:, :, 32 - w :] = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, w)
-        out[rows] = np.packbits(bits, axis=2).view(">u4").reshape(len(rows), BLOCK)
-    for r in np.flatnonzero(late):
-        at = starts[r] + _BLOCK_HEAD.size + width[r] * BLOCK // 8
-        places = data[at : at + late[r]]
-        out[r, places] = data[at + late[r] : at + 5 * late[r]].copy().view("<u4")
+        if 8 * word.itemsize > w:
+            bits = np.zeros((len(rows), BLOCK, 8 * word.itemsize), np.uint8)
+            bits[:, :, 8 * word.itemsize - w :] = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, w)
+            packed = np.packbits(bits, axis=2).reshape(len(rows), -1)
+        out[rows] = packed.view(word).reshape(len(rows), BLOCK)
+    row = np.repeat(np.arange(len(starts)), late)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(late) - late, late)
+    at = starts[row] + _BLOCK_HEAD.size + width[row] * BLOCK // 8
+    out[row, data[at + nth]] = data[(at + late[row] + 4 * nth)[:, None] + np.arange(4)].view("<u4").ravel()
     out += low[:, None]
-    return out.ravel()[:count]
+    return out.ravel()
 
 
 def file_bytes(part: int, before: int, doc_ids: list, raw: list[bytes]) -> bytes:
@@ -150,7 +178,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
             number, before, keys, raw, size = number + 1, before + size // 4, [], [], 0
             return row
 
-        for batch in batches:
+        for batch in sliced(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(key)
                 raw.append(enc.raw(text) + end)
@@ -169,15 +197,15 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
     return rows.mapInArrow(write, "part int, number int, file string, n_docs long, n_ids long")
 
 
-def read_tokens(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document of the manifest's token-id files: ``doc_id, start, n_tokens, ids_crc32, ids`` (binary), from the files.
+def read_tokens(spark, folder: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Per document of the manifest's token-id files: ``doc_id, start, n_tokens, ids_crc32, ids`` (binary; null if not asked for), from the files.
 
     The totals by part, one row for each range of ids, are summed up on the driver.
     Other files of the folder are not taken.
     """
-    totals = sorted((r.part, r.n) for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    bases, total = [], 0
-    for part, n in totals:
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count(F.lit(1)).alias("files")).collect()
+    files, bases, total = sum(r.files for r in parts), [], 0
+    for part, n in sorted((r.part, r.n) for r in parts):
         bases.append((part, total))
         total += n
 
@@ -191,17 +219,17 @@ def read_tokens(spark, folder: str, manifest: DataFrame) -> DataFrame:
                     data = file.read()
                 part, before, keys, counts, ids = read_file(data)
                 ends = np.cumsum(counts)
-                raw, view = ids.tobytes(), before + ends - counts
+                raw, view = memoryview(ids.tobytes()), before + ends - counts
                 cut = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                columns = [pa.array(np.full(len(keys), part, np.int32)), pa.array(keys, pa.int64()), pa.array(view), pa.array(counts), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary())]
+                columns = [pa.array(np.full(len(keys), part, np.int32)), pa.array(keys, pa.int64()), pa.array(view), pa.array(counts), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary()) if with_ids else pa.nulls(len(cut), pa.binary())]
                 yield pa.record_batch(columns, ["part", "doc_id", "place", "n_tokens", "ids_crc32", "ids"])
 
-    docs = manifest.select("file").repartition("file").mapInArrow(read, "part int, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
+    docs = manifest.select("file").repartition(-(-files // 4), "file").mapInArrow(read, "part int, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
     base = spark.createDataFrame(bases, "part int, base long")
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("place") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
-def token_store(df: DataFrame, folder: str | None = None, tokenizer: str | None = None, **options) -> DataFrame:
+def token_store(df: DataFrame, folder: str | None = None, tokenizer: str | None = None, with_ids: bool = True, **options) -> DataFrame:
     """Write the token-id files of ``df`` and read them back.
 
     A null or empty text is the end id alone; an empty table gives no file and an
@@ -214,9 +242,9 @@ def token_store(df: DataFrame, folder: str | None = None, tokenizer: str | None
     manifest = work.table(write_tokens(df, folder, tokenizer or default_tokenizer(), **options), "manifest")
     if manifest.isEmpty():
         return spark.createDataFrame([], schema)
-    return read_tokens(spark, folder, manifest)
+    return read_tokens(spark, folder, manifest, with_ids)
 
 
 def op4_token_store(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return token_store(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_store(docs, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -22,29 +22,21 @@ def _byte_letters() -> str:
 
 
 class _Cache(dict):
-    """Text part -> its ids as bytes, found on first use.
-
-    Two generations of at most ``limit`` parts: when the young one is full it
-    becomes the old one, and parts met again move up, so frequent parts stay.
-    """
+    """Text part -> its ids as bytes, found on first use; emptied when it has ``limit`` parts."""
 
     def __init__(self, find, limit: int, marks: dict | None = None):
         super().__init__()
-        self.find, self.limit, self.old = find, limit, {}
+        self.find, self.limit = find, limit
         self.marks = self if marks is None else marks
 
     def __missing__(self, part: str) -> bytes:
         if part[:-1].isalpha() and not part[-1].isalpha():  # a word and a mark: two lookups, not kept
             return self[part[:-1]] + self.marks[part[-1]]
-        ids = self.old.get(part)
-        if ids is None:
-            ids = self.find(part)
-            if len(part) > 64:
-                return ids
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[part] = ids
+        ids = self.find(part)
+        if len(part) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[part] = ids
         return ids
 
 
@@ -66,6 +58,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.blank = self.letters[ord(" ")]  # ASCII letters stand for themselves
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.first = _Cache(self._unspaced, limit)
         self.spaced = _Cache(self._spaced, 2 * limit, self.first)
@@ -73,7 +66,7 @@ class Encoder:
     def _spaced(self, part: str) -> bytes:
         """Ids of a part with the space before it; a plain word is one piece."""
         if part.isalpha():
-            return self._piece(" " + part)
+            return self._merged(self.blank + part) if part.isascii() else self._piece(" " + part)
         return self._joined(self.split(" " + part))
 
     def _unspaced(self, part: str) -> bytes:
@@ -86,8 +79,10 @@ class Encoder:
         return b"".join([spaced[p[1:]] if p[0] == " " and len(p) > 1 and p[1] not in " \n" else first[p] for p in pieces])
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self.merge(piece.encode().decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in tokens]).tobytes()
+        return self._merged(piece.encode().decode("latin-1").translate(self.letters))
+
+    def _merged(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
