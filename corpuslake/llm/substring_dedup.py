@@ -17,14 +17,18 @@ beyond its phrase never decides, so ranks of the parse's own suffixes are not ne
 
 Nothing grows with a popular passage: occurrences that a batch has seen already are
 settled before they are exchanged, the others are dealt by phrase, not by trigger, and
-streamed.  The suffixes of a trigger with more than ``crowded`` phrases are not sorted
-in one task; they are dealt by a 128-bit fingerprint of their bytes, and all but the
-first of equal ones repeat.
+streamed.  The phrases of a trigger that has more than ``crowded`` of them are not sorted
+in one task.  Their windows have ``length - GRAM`` bytes beside the trigger, so half of
+that on one side at least: a phrase is split into the windows with that much before the
+trigger and those with that much behind it, and the bytes of that half join the trigger.
+The parse of these finer phrases is sorted and settled as before, and split again where
+it has to be; in the end a trigger is a whole window, which has one phrase.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +87,26 @@ def _later(order: list[np.ndarray], same: int) -> np.ndarray:
     return later
 
 
+#: A phrase's shape in one number: its windows, the trigger's place in it, and by how much the trigger has grown to the left and right.
+_BITS = 15
+_FIELDS = (1 << _BITS) - 1
+
+
+def _shape(windows, place, left=0, right=0):
+    return windows | place << _BITS | left << 2 * _BITS | right << 3 * _BITS
+
+
+def _parsed(table: list[np.ndarray]) -> pa.RecordBatch:
+    """Parse entries ``trigger, phrase, doc, start, shape, kind`` of a batch; kind REPEAT if the batch has a phrase earlier."""
+    repeat = _later(table[:4], 2)
+    # settled rows only travel on; they are spread by place
+    table[0] = np.where(repeat, table[3] * 31 + table[2], table[0])
+    table[1] = np.where(repeat, 0, table[1])
+    return pa.record_batch([*map(pa.array, table), pa.array(np.where(repeat, REPEAT, OPEN).astype(np.int32))], ["trigger", "phrase", "doc", "start", "shape", "kind"])
+
+
 def _entries(length: int):
-    """Documents to parse entries ``trigger, phrase, doc, start, windows, kind``; kind REPEAT if this batch has it earlier."""
+    """Documents to parse entries."""
     from xxhash import xxh3_64_intdigest
 
     def run(batches):
@@ -95,24 +117,47 @@ def _entries(length: int):
                 trigger, place, first, last = parse(np.frombuffer(raw, np.uint8), length)
                 if len(trigger):
                     phrase = [xxh3_64_intdigest(raw[a : b + length], t - a) for a, b, t in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
-                    parts.append((trigger, np.array(phrase, np.uint64).view(np.int64), np.full(len(trigger), doc), first, last - first + 1))
-            if not parts:
-                continue
-            table = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            kind = np.where(_later(table[:4], 2), REPEAT, OPEN)
-            # settled rows only travel on; they are spread by place
-            table[0] = np.where(kind == REPEAT, table[3] * 31 + table[2], table[0])
-            table[1] = np.where(kind == REPEAT, 0, table[1])
-            yield pa.record_batch([*map(pa.array, table[:4]), pa.array(table[4].astype(np.int32)), pa.array(kind.astype(np.int32))], ["trigger", "phrase", "doc", "start", "windows", "kind"])
+                    parts.append((trigger, np.array(phrase, np.uint64).view(np.int64), np.full(len(trigger), doc), first, _shape(last - first + 1, place - first)))
+            if parts:
+                yield _parsed([np.concatenate(x) for x in zip(*parts, strict=True)])
+
+    return run
+
+
+def _finer(length: int):
+    """Dictionary rows of crowded triggers to the parse entries of their halves, with their bytes."""
+    from xxhash import xxh3_64_intdigest
+
+    def halves(raw, start, shape):
+        windows, place, left, right = (shape >> k * _BITS & _FIELDS for k in range(4))
+        slack = length - GRAM - left - right
+        half = (slack + 1) // 2
+        cut = min(max(place - left - half + 1, 0), windows)
+        for first, n, a, b in ((0, cut, left + half, right), (cut, windows - cut, left, right + slack - half + 1)):
+            if n:
+                trigger, phrase = raw[place - a : place + GRAM + b], raw[first : first + n - 1 + length]
+                yield xxh3_64_intdigest(trigger, a << _BITS | b), xxh3_64_intdigest(phrase, place - first), start + first, _shape(n, place - first, a, b), phrase
+
+    def run(batches):
+        for batch in batches:
+            docs, rows = [], []
+            for doc, start, shape, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                found = list(halves(raw, start, shape))
+                rows += found
+                docs += [doc] * len(found)
+            if rows:
+                codes = [np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in (0, 1)]
+                entries = _parsed([*codes, np.array(docs, np.int64), *(np.array([r[k] for r in rows], np.int64) for k in (2, 3))])
+                yield pa.record_batch([*entries.columns, pa.array([r[4] for r in rows], pa.binary())], [*entries.schema.names, "bytes"])
 
     return run
 
 
 def _settle(batches):
-    """Sorted parse entries to ``doc, start, windows, kind, trigger``: the first of a phrase is OPEN, the others REPEAT."""
+    """Sorted parse entries to ``doc, start, shape, kind, trigger``, and their bytes if they have them: the first of a phrase is OPEN, the others REPEAT."""
     last = None
     for batch in batches:
-        trigger, phrase, doc, start, windows, kind = (batch.column(k).to_numpy() for k in range(6))
+        trigger, phrase, doc, start, shape, kind = (batch.column(k).to_numpy() for k in range(6))
         own = np.flatnonzero(kind != REPEAT)
         t, p = trigger[own], phrase[own]
         first = np.ones(len(own), bool)
@@ -122,19 +167,19 @@ def _settle(batches):
             last = (t[-1], p[-1])
         kind = np.full(len(kind), REPEAT, np.int32)
         kind[own[first]] = OPEN
-        yield pa.record_batch([*map(pa.array, (doc, start, windows, kind)), pa.array(trigger, mask=kind == REPEAT)], ["doc", "start", "windows", "kind", "trigger"])
+        yield pa.record_batch([*map(pa.array, (doc, start, shape, kind)), pa.array(trigger, mask=kind == REPEAT), *batch.columns[6:]], ["doc", "start", "shape", "kind", "trigger", *batch.schema.names[6:]])
 
 
 def _phrases(length: int):
-    """Documents with the places of their open phrases to dictionary rows ``trigger, doc, start, phrase``."""
+    """Documents with the places of their open phrases to dictionary rows ``trigger, doc, start, shape, phrases, bytes``."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, text, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = text.encode("utf-8", "replace")
-                rows += [(p["trigger"], doc, p["start"], raw[p["start"] : p["start"] + p["windows"] + length - 1]) for p in places]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["trigger", "doc", "start", "phrase"])
+                rows += [(p["trigger"], doc, p["start"], p["shape"], p["phrases"], raw[p["start"] : p["start"] + (p["shape"] & _FIELDS) + length - 1]) for p in places]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((*(pa.int64(),) * 5, pa.binary()))], ["trigger", "doc", "start", "shape", "phrases", "bytes"])
 
     return run
 
@@ -184,46 +229,6 @@ def _suffix_arrays(length: int):
     return run
 
 
-def _suffixes(length: int):
-    """Documents with their open phrases to suffixes ``high, low, doc, start, kind``."""
-    from xxhash import xxh3_128_digest
-
-    def run(batches):
-        for batch in batches:
-            parts = []
-            for doc, text, starts, windows in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = text.encode("utf-8", "replace")
-                at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, windows, strict=True)])
-                codes = np.frombuffer(b"".join([xxh3_128_digest(raw[a : a + length]) for a in at.tolist()]), ">i8").reshape(-1, 2).astype(np.int64)
-                parts.append((codes[:, 0], codes[:, 1], np.full(len(at), doc), at))
-            if parts:
-                table = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                kind = np.where(_later(table, 2), REPEAT, OPEN).astype(np.int32)
-                table[0] = np.where(kind == REPEAT, table[3] * 31 + table[2], table[0])
-                table[1] = np.where(kind == REPEAT, 0, table[1])
-                yield pa.record_batch([*map(pa.array, table), pa.array(kind)], ["high", "low", "doc", "start", "kind"])
-
-    return run
-
-
-def _repeats(batches):
-    """Sorted suffixes to those that are not the first of their kind."""
-    high = low = None
-    for batch in batches:
-        h, w, doc, start, kind = (batch.column(k).to_numpy() for k in range(5))
-        settled = kind == REPEAT
-        done = [(doc[settled], start[settled])]
-        h, w, doc, start = (x[~settled] for x in (h, w, doc, start))
-        if len(h):
-            again = np.zeros(len(h), bool)
-            again[1:] = (h[1:] == h[:-1]) & (w[1:] == w[:-1])
-            again[0] = high is not None and (h[0], w[0]) == (high, low)
-            high, low = h[-1], w[-1]
-            done.append((doc[again], start[again]))
-        columns = [np.concatenate(x) for x in zip(*done, strict=True)]
-        yield pa.record_batch([pa.array(columns[0]), pa.array(columns[1])], ["doc", "start"])
-
-
 def _removal(length: int):
     """Documents with their repeated window starts to the removed runs and the bytes that stay."""
 
@@ -257,7 +262,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataFr
     return work.table(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_key"), "_id", "_text"), "keyed")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowded: int = 4096) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowded: int = 2048) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept`` (binary) for every row.
 
     A byte goes if a ``length``-byte string of its document covers it that also
@@ -266,31 +271,44 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with one id by text, so of repeated rows the first stays whole.  An empty table
     gives an empty result; other columns are ignored.
     """
-    if length < GRAM:
-        raise ValueError(f"length must be at least {GRAM}")
+    if not GRAM <= length <= _FIELDS:
+        raise ValueError(f"length must be from {GRAM} to {_FIELDS}")
     work = Workspace(df.sparkSession, "substrings")
     docs = _keyed(df, id_col, text_col, work)
-    entries = docs.select("_key", "_text").mapInArrow(_entries(length), "trigger long, phrase long, doc long, start long, windows int, kind int")
-    order = ["trigger", "phrase", "doc", "start"]
-    parsed = entries.repartition("trigger", "phrase").sortWithinPartitions(*order)
-    settled = work.table(parsed.mapInArrow(_settle, "doc long, start long, windows int, kind int, trigger long"), "settled")
-    heads = settled.filter(F.col("kind") == OPEN).select("trigger", "doc", "start", "windows")
-    shared = heads.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1")
-    opened = work.table(heads.join(shared, "trigger"), "opened")
+    order, windows = ["trigger", "phrase", "doc", "start"], F.col("shape").bitwiseAND(F.lit(_FIELDS)).cast("int").alias("windows")
+    entry, settled_row, entry_bytes = "trigger long, phrase long, doc long, start long, shape long, kind int", "doc long, start long, shape long, kind int, trigger long", ", bytes binary"
+    repeats = []
 
     def by_doc(rows, *columns):
         return rows.groupBy(F.col("doc").alias("_key")).agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
 
-    some = opened.filter(F.col("phrases") <= crowded).select("doc", F.struct("trigger", "start", "windows").alias("place"))
-    dictionary = docs.join(by_doc(some, "place").hint("shuffle_hash"), "_key").select("_key", "_text", "places").mapInArrow(_phrases(length), "trigger long, doc long, start long, phrase binary")
-    in_order = dictionary.repartition("trigger").sortWithinPartitions("trigger", "doc", "start")
-    repeats = settled.filter(F.col("kind") == REPEAT).select("doc", "start", "windows")
-    repeats = repeats.unionByName(work.table(in_order.mapInArrow(_suffix_arrays(length), "doc long, start long, windows int"), "suffixes"))
-    many = opened.filter(F.col("phrases") > crowded)
-    if not many.isEmpty():
-        suffixes = docs.join(by_doc(many, "start", "windows").hint("shuffle_hash"), "_key").select("_key", "_text", "starts", "windowss").mapInArrow(_suffixes(length), "high long, low long, doc long, start long, kind int")
-        spread = suffixes.repartition("high", "low").sortWithinPartitions("high", "low", "doc", "start")
-        repeats = repeats.unionByName(work.table(spread.mapInArrow(_repeats, "doc long, start long"), "crowded").withColumn("windows", F.lit(1)))
+    def settle(entries, level, more=""):
+        """The first entries of phrases that share their trigger, with how many do; all others are settled."""
+        parsed = entries.repartition("trigger", "phrase").sortWithinPartitions(*order)
+        settled = work.table(parsed.mapInArrow(_settle, settled_row + more), f"settled{level}")
+        repeats.append(settled.filter(F.col("kind") == REPEAT).select("doc", "start", windows))
+        heads = settled.filter(F.col("kind") == OPEN).drop("kind")
+        shared = heads.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1")
+        return work.table(heads.join(shared, "trigger"), f"opened{level}")
+
+    def sort(dictionary, level):
+        in_order = dictionary.select("trigger", "doc", "start", "bytes").repartition("trigger").sortWithinPartitions("trigger", "doc", "start")
+        repeats.append(work.table(in_order.mapInArrow(_suffix_arrays(length), "doc long, start long, windows int"), f"suffixes{level}"))
+
+    opened = settle(docs.select("_key", "_text").mapInArrow(_entries(length), entry), 0)
+    places = by_doc(opened.select("doc", F.struct("trigger", "start", "shape", "phrases").alias("place")), "place")
+    dictionary = docs.join(places.hint("shuffle_hash"), "_key").select("_key", "_text", "places").mapInArrow(_phrases(length), "trigger long, doc long, start long, shape long, phrases long, bytes binary")
+    few, many = F.col("phrases") <= crowded, F.col("phrases") > crowded
+    if opened.filter(many).isEmpty():
+        sort(dictionary, 0)
+    else:
+        dictionary, level = work.table(dictionary, "dictionary"), 0
+        sort(dictionary.filter(few), level)
+        while not (left := dictionary.filter(many)).isEmpty():
+            level += 1
+            dictionary = settle(left.select("doc", "start", "shape", "bytes").mapInArrow(_finer(length), entry + entry_bytes), level, entry_bytes)
+            sort(dictionary.filter(few), level)
+    repeats = reduce(DataFrame.unionByName, repeats)
     marked = docs.join(by_doc(repeats, "start", "windows").hint("shuffle_hash"), "_key", "left")
     out = marked.select("_key", "_text", "starts", "windowss").mapInArrow(_removal(length), "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if "keyed" in work._made:

@@ -255,13 +255,35 @@ def test_substring_dedup(spark, docs):
         want[i] = (len(raw), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), kept)
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got} == want
-    crowded = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowded=2).collect()
-    assert sorted(map(tuple, crowded)) == sorted(map(tuple, got))
+    for most in (1, 3):
+        crowded = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowded=most).collect()
+        assert sorted(map(tuple, crowded)) == sorted(map(tuple, got))
     repeated = substring_dedup.remove_repeats(docs).collect()  # ids that are null or repeat
     assert len(repeated) == len(corpus_rows()) and sorted(r.n_removed for r in repeated if r.doc_id == 0) == [0, len(corpus_rows()[0][1])]
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def test_a_crowded_trigger_is_split(spark):
+    """A line that stands in many different surroundings, some of which repeat around it."""
+    draw, line = random.Random(6), "the very same line of forty letters here"
+    rows = []
+    for k in range(120):
+        before, after = prose(draw.randrange(12), 12)[-60:], prose(100 + draw.randrange(12), 12)[:60]
+        rows.append((k, f"{prose(3000 + k, 8)} {before}{line}{after} {prose(4000 + k, 8)}"))
+    seen, want = set(), {}
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for a in range(len(t) - 99):
+            if t[a : a + 100] in seen:
+                gone[a : a + 100] = b"\1" * 100
+            seen.add(t[a : a + 100])
+        want[i] = sum(gone)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sum(map(bool, want.values())) > 40
+    for most in (1, 10, 1024):
+        assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, crowded=most).collect()} == want
+
+
 def test_suffix_arrays_are_in_byte_order():
     phrases = [b"abcabcabd" * 20, b"abcabcabd" * 14, bytes(range(256))]
     windows, order = substring_dedup.suffix_array(phrases, 100)
@@ -292,6 +314,21 @@ def test_vectors(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i, *_ in rows if i not in ok)
 
 
+@pytest.mark.parametrize("block", [5, 16, 1000])
+def test_links_of_large_components(spark, block):
+    """A tight group, a few beside it, a chain, and copies: all links are counted."""
+    draw = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x)
+    centre, side = np.eye(12)[0], np.eye(12)[1]
+    tight = [unit(centre + 0.03 * draw.standard_normal(12)) for _ in range(30)]
+    beside = [unit(np.cos(a) * centre + np.sin(a) * side) for a in np.linspace(0.2, 1.4, 20)]
+    values = tight + beside + tight[:4]
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(values)]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=block).collect()}
+    for k, v in enumerate(values):
+        assert got[k].n_links == sum(v @ w >= 0.93 for j, w in enumerate(values) if j != k) and got[k].component_id == 0
+
+
 def test_no_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
