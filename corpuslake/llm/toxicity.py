@@ -143,16 +143,13 @@ class Machine:
 
 def _sparse(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, subsequence and value of normalised feature entries, for words as class bytes."""
-    rows, which, value = [], [], []
-    for r, word in enumerate(words):
-        codes = np.frombuffer(word, np.uint8)
-        left = np.arange(len(codes), 0, -1)
-        scale = 1 / norms(np.array([len(codes)]))[0]
-        for at, seq, weight in subsequences(codes, left):
-            rows.append(np.full(len(at), r))
-            which.append(seq)
-            value.append(np.full(len(at), weight * scale))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, which, value))
+    codes, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+    row, scale = np.repeat(np.arange(len(words)), sizes), 1 / norms(sizes)
+    left = np.cumsum(sizes)[row] - np.arange(len(codes))
+    found = [(row[at], which, weight * scale[row[at]]) for at, which, weight in subsequences(codes, left)]
+    rows, which, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], which[order], value[order]
 
 
 def _gram(words: list[bytes], columns: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
@@ -192,8 +189,11 @@ def _altered(word: bytes, draw: np.random.Generator, shorter: int) -> bytes:
     return word[:at] + bytes([int(draw.integers(1, ALPHABET))]) + word[at:]
 
 
-def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4, negatives: int = 8) -> Machine:
-    """Train on documents and 0/1 labels; without both labels every score is the smoothed prior."""
+def fit(texts: list[str], y: np.ndarray, landmarks: int = 384, rounds: int = 4, negatives: int = 16, alterations: int = 8, shares: tuple[float, float, float] = (0.35, 0.25, 0.4)) -> Machine:
+    """Train on documents and 0/1 labels; without both labels every score is the smoothed prior.
+
+    ``shares`` are those of the cost of witnesses, of their ``alterations``, and of clean strings.
+    """
     base = (float(y.sum()) + 1) / (len(y) + 2)
     flat = Machine(np.zeros(ALPHABET**3), 0.0, 0.0, float(np.log(base / (1 - base))))
     if len(y) == 0 or y.min() == y.max():
@@ -239,12 +239,12 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4,
     machine, plain = flat, features(drawn)
     for _ in range(rounds):
         different = sorted(set(witness))
-        altered = [_altered(word, spread, k % 2) for k in range(8) for word in different]
+        altered = [_altered(word, spread, k % 2) for k in range(alterations) for word in different]
         good = features(different)[np.searchsorted(np.array(different, object), np.array(witness, object))]
         x = np.concatenate([good, features(altered), plain, features(hard)])
         target = np.concatenate([np.ones(len(witness) + len(altered)), -np.ones(len(drawn) + len(hard))])
         sizes = [len(witness), len(altered), len(drawn) + len(hard)]
-        cost = np.concatenate([np.full(n, c * len(x) / max(n, 1)) for n, c in zip(sizes, (0.35, 0.25, 0.4), strict=True)])
+        cost = np.concatenate([np.full(n, c * len(x) / max(n, 1)) for n, c in zip(sizes, shares, strict=True)])
         w = _svm(x, target, cost)
         weights = np.zeros(ALPHABET**3)
         weights[columns] = (root @ w[:-1]) @ marks
