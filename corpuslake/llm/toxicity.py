@@ -39,6 +39,8 @@ DECAY, ALPHABET = 0.7, 64
 AS_CLEAR = 0.3
 #: Places of the second and third letter after the first.
 GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
+#: Strings whose subsequences are laid out, and feature rows copied, at once: training's memory beside its features.
+STRINGS, ROWS = 256, 4096
 _FOLD: list[np.ndarray] = []
 _MARKS: list[np.ndarray] = []
 
@@ -155,8 +157,8 @@ def _sparse(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _gram(words: list[bytes], columns: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of words and landmarks; ``columns``: the subsequences that landmarks have."""
     out = np.zeros((len(words), landmarks.shape[0]))
-    for at in range(0, len(words), 2048):
-        part = words[at : at + 2048]
+    for at in range(0, len(words), STRINGS):
+        part = words[at : at + STRINGS]
         row, which, value = _sparse(part)
         place = np.searchsorted(columns, which)
         place[place == len(columns)] = 0
@@ -167,14 +169,21 @@ def _gram(words: list[bytes], columns: np.ndarray, landmarks: np.ndarray) -> np.
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Squared-hinge machine by Newton steps on the rows inside the margin."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+def _svm(blocks: list[np.ndarray], y: np.ndarray, cost: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
+    """Squared-hinge machine by Newton steps on the rows inside the margin, of feature blocks that are never copied whole."""
+    size = blocks[0].shape[1] + 1
+    edges = np.cumsum([0, *map(len, blocks)]).tolist()
+    parts = [(b[k : k + ROWS], slice(at + k, at + k + len(b[k : k + ROWS]))) for b, at in zip(blocks, edges, strict=False) for k in range(0, len(b), ROWS)]
+    w = np.zeros(size)
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        a = x[inside] * cost[inside, None]
-        new = np.linalg.solve(penalty * np.eye(x.shape[1]) + a.T @ x[inside], a.T @ y[inside])
+        left, right = penalty * np.eye(size), np.zeros(size)
+        for part, rows in parts:
+            inside = y[rows] * (part @ w[:-1] + w[-1]) < 1
+            x = np.column_stack([part[inside], np.ones(inside.sum())])
+            a = x * cost[rows][inside, None]
+            left += a.T @ x
+            right += a.T @ y[rows][inside]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -200,9 +209,11 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 384, rounds: int = 4,
         return flat
     coded = [classes_of(t) for t in texts]
     bags: list[list[bytes]] = []
+    one: dict[bytes, bytes] = {}  # equal strings of all documents are one object
     for codes in coded:
         starts, sizes = words_in(codes)
-        bags.append(list(dict.fromkeys(codes[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) if n >= 3)))
+        own = dict.fromkeys(codes[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) if n >= 3)
+        bags.append([one.setdefault(w, w) for w in own])
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     # a first guess at witnesses: strings with a beginning that toxic documents have more often
     often: dict[bytes, list[int]] = {}
@@ -221,6 +232,7 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 384, rounds: int = 4,
         witness += [w for o, w in told if o > told[0][0] - AS_CLEAR]
     spread = np.random.default_rng(0)
     drawn = [bags[k][int(j)] for k in clean if bags[k] for j in spread.integers(len(bags[k]), size=min(negatives, len(bags[k])))]
+    del bags, one, often  # the rounds read the documents
     hard: list[bytes] = []
     count: dict[bytes, int] = {}
     for w in witness:
@@ -241,11 +253,12 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 384, rounds: int = 4,
         different = sorted(set(witness))
         altered = [_altered(word, spread, k % 2) for k in range(alterations) for word in different]
         good = features(different)[np.searchsorted(np.array(different, object), np.array(witness, object))]
-        x = np.concatenate([good, features(altered), plain, features(hard)])
+        blocks = [good, features(altered), plain, features(hard)]
         target = np.concatenate([np.ones(len(witness) + len(altered)), -np.ones(len(drawn) + len(hard))])
         sizes = [len(witness), len(altered), len(drawn) + len(hard)]
-        cost = np.concatenate([np.full(n, c * len(x) / max(n, 1)) for n, c in zip(sizes, shares, strict=True)])
-        w = _svm(x, target, cost)
+        cost = np.concatenate([np.full(n, c * len(target) / max(n, 1)) for n, c in zip(sizes, shares, strict=True)])
+        w = _svm(blocks, target, cost)
+        del good, blocks
         weights = np.zeros(ALPHABET**3)
         weights[columns] = (root @ w[:-1]) @ marks
         machine = Machine(weights, float(w[-1]), 1.0, 0.0)
