@@ -21,11 +21,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import Workspace, sliced
+from corpuslake.llm.common import Workspace
 from corpuslake.llm.tokens import END_ID, default_tokenizer, encoder
 
 MAGIC, VERSION, BLOCK = b"CLTF", 1, 256
@@ -113,12 +114,23 @@ def _unpack(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def file_bytes(part: int, before: int, doc_ids: list, raw: list[bytes]) -> bytes:
     """One token-id file."""
-    ids = np.frombuffer(b"".join(raw), "<u4")
+    return file_of(part, before, doc_ids, np.array([len(r) // 4 for r in raw], np.int64), np.frombuffer(b"".join(raw), "<u4"))
+
+
+def file_of(part: int, before: int, doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """One token-id file, from the number of ids of each document and the ids of all."""
     starts, blocks = pack_ids(ids)
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    counts = np.array([len(r) // 4 for r in raw], "<u8")
-    return _HEAD.pack(MAGIC, VERSION, part, len(raw), before, len(ids), len(starts)) + keys.tobytes() + nulls.tobytes() + counts.tobytes() + starts.tobytes() + blocks
+    return _HEAD.pack(MAGIC, VERSION, part, len(keys), before, len(ids), len(starts)) + keys.tobytes() + nulls.tobytes() + counts.astype("<u8").tobytes() + starts.tobytes() + blocks
+
+
+def _by_size(batch: pa.RecordBatch, most: int = 1 << 22):
+    """A batch of ``id, text`` in slices of about ``most`` bytes of text, one text at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
 
 
 def read_file(data: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
@@ -162,29 +174,35 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
         disk, path = opened()
         task = TaskContext.get()
         part, number, before = task.partitionId(), 0, 0
-        keys, raw, size = [], [], 0
+        keys, counts, ids, size = [], [], [], 0
 
         def save():
-            nonlocal number, before, keys, raw, size
+            nonlocal number, before, keys, counts, ids, size
             name = f"{path}/part-{part:06d}-{number:06d}.cltf"
             temp = f"{path}/.part-{part:06d}-{number:06d}-{task.taskAttemptId()}"
             with disk.open_output_stream(temp) as out:
-                out.write(file_bytes(part, before, keys, raw))
+                out.write(file_of(part, before, keys, np.concatenate(counts), np.concatenate(ids)))
             if disk.get_file_info(name).type == fs.FileType.NotFound:
                 disk.move(temp, name)
             else:  # another attempt of this task has written the same bytes
                 disk.delete_file(temp)
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([os.path.basename(name)]), pa.array([len(keys)]), pa.array([size // 4])], ["part", "number", "file", "n_docs", "n_ids"])
-            number, before, keys, raw, size = number + 1, before + size // 4, [], [], 0
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([os.path.basename(name)]), pa.array([len(keys)]), pa.array([size])], ["part", "number", "file", "n_docs", "n_ids"])
+            number, before, keys, counts, ids, size = number + 1, before + size, [], [], [], 0
             return row
 
-        for batch in sliced(batches):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(key)
-                raw.append(enc.raw(text) + end)
-                size += len(raw[-1])
-                if size >= 4 * file_ids:
-                    yield save()
+        for batch in batches:
+            for some in _by_size(batch):
+                own, (new, count) = some.column(0).to_pylist(), enc.all_raw(some.column(1), end)
+                ends, at = np.cumsum(count), 0
+                while at < len(own):  # a file ends with the document that fills it
+                    done = int(ends[at - 1]) if at else 0
+                    stop = min(int(np.searchsorted(ends, done + file_ids - size)) + 1, len(own))
+                    keys += own[at:stop]
+                    counts.append(count[at:stop])
+                    ids.append(new[done : ends[stop - 1]])
+                    size, at = size + int(ends[stop - 1]) - done, stop
+                    if size >= file_ids:
+                        yield save()
         if keys:
             yield save()
         if task.attemptNumber():

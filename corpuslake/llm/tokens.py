@@ -5,12 +5,18 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 END_ID = 2
 #: Texts within these code points take the cached path; in this range the white space,
 #: letter and number classes of all the libraries involved are the same.
 _BEYOND = re.compile("[^\x00-ɏ]")
 #: A space that does not stand before a visible character.
 _UNCLEAR = re.compile("[ ](?![^\\s\x1c-\x1f])")
+#: A word, the marks behind it with line ends that follow, and a word after those: in these letters each is a piece.
+_ENDS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@]+\n?)(?:(?<=\n)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+))?").fullmatch
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -34,11 +40,14 @@ class _Cache(dict):
             return self[part[:-1]] + self.marks[part[-1]]
         ids = self.find(part)
         if len(part) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[part] = ids
+            self.keep(part, ids)
         return ids
 
+    def keep(self, part: str, ids: bytes) -> None:
+        if len(self) >= self.limit:
+            self.clear()
+        self[part] = ids
+
 
 class Encoder:
     """Byte-level BPE ids of a text, with no special tokens read or added.
@@ -99,6 +108,57 @@ class Encoder:
         parts[0], rest = self.first[parts[0]] if parts[0] else b"", parts[1:]
         return parts[0] + b"".join(map(self.spaced.__getitem__, rest))
 
+    def all_raw(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts in one row, each text's followed by ``end``, and how many each has.
+
+        The texts' parts are numbered in Arrow, so each different one is looked up
+        once; texts that ``raw`` does not cut at spaces go through it one by one.
+        """
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        edges = np.asarray(cut.offsets)
+        words = cut.flatten().dictionary_encode()
+        which, different = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
+        starts, rare, spaced, first, merge, blank = edges[:-1], np.zeros(len(different), bool), self.spaced, self.first, self.merge, self.blank
+        ids = list(map(spaced.get, different))
+        rest = []
+        for k, known in enumerate(ids):
+            if known is None:
+                w = different[k]
+                if w.isalpha() and w.isascii():  # most of the parts that are new: one piece
+                    ids[k] = found = array("I", [t.id for t in merge(blank + w)]).tobytes()
+                    if len(w) <= 64:
+                        spaced.keep(w, found)
+                else:
+                    rest.append(k)
+        for k in rest:  # words among them are known by now
+            w = different[k]
+            if ends := _ENDS(w):
+                word, marks, after = ends.groups()
+                ids[k] = spaced[word] + first[marks] + (first[after] if after else b"")
+            else:
+                rare[k] = not w or w[0].isspace() or not w.isascii() and _BEYOND.search(w) is not None
+                ids[k] = b"" if rare[k] else spaced[w]
+        opening = [different[k] for k in which[starts].tolist()]
+        whole = rare[which]
+        whole[starts] = [not w.isascii() and _BEYOND.search(w) is not None for w in opening]
+        whole = np.logical_or.reduceat(whole, starts)
+        own = [self.raw(texts[k].as_py()) if whole[k] else self.first[w] if w else b"" for k, w in enumerate(opening)]
+        # opening parts stand behind the others, then what is nothing and what ends a text
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(edges))
+        which[whole[text]] = len(ids) + len(own)
+        which[starts] = len(ids) + np.arange(len(own))
+        order = np.full(len(which) + len(texts), len(ids) + len(own) + 1, which.dtype)
+        text += np.arange(len(which), dtype=np.int32)
+        order[text] = which
+        joined = pa.array([*ids, *own, b"", end], pa.large_binary()).take(pa.array(order))
+        offsets = np.frombuffer(joined.buffers()[1], np.int64, len(order) + 1)
+        stops = offsets[edges[1:] + np.arange(len(texts)) + 1]
+        data = joined.buffers()[2]
+        return np.frombuffer(data, "<u4", stops[-1] // 4) if stops[-1] else np.zeros(0, "<u4"), np.diff(stops, prepend=0) // 4
+
 
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker."""
