@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from corpuslake.llm import near_copies
 
@@ -50,3 +51,20 @@ def test_a_large_group_is_one_component_and_its_neighbours_are_not(spark, longes
     want = {i: {0} if i < 150 else {500} if i < 600 else {1000} if i >= 1000 else {i} for i, _ in rows if i is not None}
     assert got == want
     assert near_copies.near_components(docs.limit(0)).count() == 0
+
+
+def test_bits_agree_as_often_as_the_similarity_says():
+    draw = np.random.default_rng(1)
+    for shared, own in ((800, 100), (90, 10), (8, 1), (4, 4)):
+        sets = [np.unique(draw.integers(0, 1 << 63, shared + 2 * own, np.uint64)) for _ in range(40)]
+        a, b = (near_copies.simhashes([np.sort(np.append(s[:shared], x(s))) for s in sets], 8192) for x in (lambda s: s[shared : shared + own], lambda s: s[shared + own :]))
+        same = 1 - np.bitwise_count(a ^ b).sum() / (8192 * len(sets))
+        assert abs(same - near_copies.agreement(shared / (shared + 2 * own))) < 0.02
+
+
+def test_the_index_is_planned_for_its_miss():
+    for classes in (0, 1000, 10**7):
+        positions, bits = near_copies.index_plan(classes, 0.8, 1e-4)
+        count, joint = positions.shape
+        assert (1 - near_copies.agreement(0.8) ** (8 * joint)) ** count <= 1e-4 and positions.max() < bits // 8 and classes <= 256**joint / 4
+    assert 1 <= near_copies.least_tally(0.8, 1e-5) < 10 and 78 < near_copies.most_bits(0.8, 1e-5) < 130
