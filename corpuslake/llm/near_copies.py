@@ -17,7 +17,7 @@ compared by their shingles, walked breadth first: a class takes all unvisited on
 similar enough out, so m classes give at most m - 1 links, a spanning forest.  Equal groups of
 different lists are verified once.
 
-The postings are indexed in passes, the first a short one.  Only connections count, so from
+The postings are indexed in passes, the first ones short.  Only connections count, so from
 the second pass on a list or group whose classes are of one component already is dropped:
 a large group of near copies meets in hundreds of lists, and only those of the first pass
 are compared.  A list is streamed.  One of more than ``longest`` classes is not filtered but
@@ -42,8 +42,8 @@ from corpuslake.llm.components import connected_components
 
 #: Bytes of a fingerprint that the count filter looks at; postings of one index task; documents transformed at once.
 TALLIED, TASK, AT_ONCE = 64, 1 << 21, 64
-#: Postings of the first pass, and of a later one at most.
-FIRST, PASS = 16, 256
+#: Where the second and third pass begin, and postings of a later one at most.
+EARLY, PASS = (2, 16), 256
 _SEGMENT = 4096
 
 
@@ -328,14 +328,25 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def _verified(similarity: float):
-    """Sorted ``group, number, shingles`` to the links ``a, b`` of each group."""
+    """Sorted ``group, number, component, shingles`` to the links ``a, b`` of each group that join components."""
 
     def run(batches):
-        at, numbers, sets, found = None, [], [], []
+        at, numbers, sets, own, found = None, [], [], [], []
 
         def close():
-            if len(sets) > 1:
-                found.extend((numbers[x], numbers[y]) for x, y in similar_links(sets, similarity))
+            if len(sets) < 2:
+                return
+            root = {c: c for c in own}
+
+            def top(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for x, y in similar_links(sets, similarity):
+                if (a := top(own[x])) != (b := top(own[y])):
+                    root[b] = a
+                    found.append((numbers[x], numbers[y]))
 
         def links():
             table = np.array(found, np.int64).reshape(-1, 2)
@@ -343,12 +354,13 @@ def _verified(similarity: float):
             return pa.record_batch([pa.array(table[:, 0]), pa.array(table[:, 1])], ["a", "b"])
 
         for batch in batches:
-            for group, number, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for group, number, component, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if group != at:
                     close()
-                    at, numbers, sets = group, [], []
+                    at, numbers, sets, own = group, [], [], []
                 if not numbers or numbers[-1] != number:
                     numbers.append(number)
+                    own.append(component)
                     sets.append(np.frombuffer(raw, np.uint64))
             yield links()
         close()
@@ -392,7 +404,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count, parts, links = prints.count(), None, None
 
     def verify(faced: DataFrame, sets: DataFrame, *key: str) -> DataFrame:
-        dealt = faced.select(F.xxhash64(*key).alias("group"), "number").join(sets, "number").select("group", "number", "shingles").repartition("group").sortWithinPartitions("group", "number")
+        dealt = component(faced.select(F.xxhash64(*key).alias("group"), "number")).join(sets, "number").select("group", "number", "component", "shingles").repartition("group").sortWithinPartitions("group", "number")
         return dealt.mapInArrow(_verified(similarity), "a long, b long")
 
     def component(numbers: DataFrame) -> DataFrame:
@@ -400,8 +412,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return numbers.withColumn("component", F.col("number"))
         return numbers.join(parts.withColumnRenamed("node", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
 
-    later = -(-(len(positions) - FIRST) // PASS)
-    for k, some in enumerate([positions[:FIRST], *(np.array_split(positions[FIRST:], later) if later > 0 else [])]):
+    rest = positions[EARLY[-1] :]
+    spans = [*np.split(positions[: EARLY[-1]], EARLY[:-1]), *np.array_split(rest, max(-(-len(rest) // PASS), 1))]
+    for k, some in enumerate(x for x in spans if len(x)):
         tasks = max(-(-(len(some) << (8 * some.shape[1])) // (1 << 32)), -(-count * len(some) // TASK))
         index = prints.select("number", "print").mapInArrow(_postings(some, tasks), "task int, base long, codes binary, places binary")
         met = work.table(index.repartition("task").sortWithinPartitions("task").mapInArrow(_lists, "list long, number long"), f"met{k}")
