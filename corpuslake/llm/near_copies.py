@@ -12,18 +12,22 @@ classes), so many that a pair at the least similarity shares none with probabili
 Count filter: of classes that meet in a list the shared positional bytes of the first 64 are
 tallied, and pairs that reach the minimum are retained; of those the bits of these bytes
 that differ are counted, and pairs beyond a bound are dropped.  A pair at the least similarity
-fails either with a tenth of ``miss``.  Verification: the groups that remain connected are
-compared by their shingles, walked breadth first: a class takes all unvisited ones that are
-similar enough out, so m classes give at most m - 1 links, a spanning forest.  Equal groups of
-different lists are verified once.
+fails either with a tenth of ``miss``.  Groups of a list are what remains connected.
 
 The postings are indexed in passes, the first ones short.  Only connections count, so from
-the second pass on a list or group whose classes are of one component already is dropped:
-a large group of near copies meets in hundreds of lists, and only those of the first pass
-are compared.  A list is streamed.  One of more than ``longest`` classes is not filtered but
-verified whole, in chunks, each with the list's first class.  Where its classes are one
-component after that, nothing is left to compare; the classes of all its other components
-are then compared with the whole list, chunk by chunk.
+the second pass on a list or group whose classes are of one component already is dropped.
+Texts a little less alike than ``similarity`` meet in hundreds of lists and never become one
+component, so groups are not verified list by list: components that meet in any group of a
+pass are a cluster, and all classes of a cluster are verified once a pass, by their shingles,
+walked breadth first.  A class takes all unvisited ones that are similar enough out, with the
+rest of their components, so m classes give at most m - 1 links, a spanning forest.
+
+A cluster of more than ``longest`` classes is verified in chunks, each with the cluster's first
+class.  Where its classes are one component after that, nothing is left to compare; the classes
+of all its other components are then compared with the whole cluster, chunk by chunk.  As that
+grows with the square of a cluster, the groups of one of more than ``CHUNKS`` chunks are verified
+each for itself, equal groups once.  A list is streamed; one of more than ``longest`` classes is
+not filtered but is a group, and is verified in chunks like a cluster.
 """
 
 from __future__ import annotations
@@ -42,8 +46,8 @@ from corpuslake.llm.components import connected_components
 
 #: Bytes of a fingerprint that the count filter looks at; postings of one index task; documents transformed at once.
 TALLIED, TASK, AT_ONCE = 64, 1 << 21, 64
-#: Where the second and third pass begin, and postings of a later one at most.
-EARLY, PASS = (2, 16), 256
+#: Where the second and third pass begin, postings of a later one at most, and chunks of a cluster that is verified whole.
+EARLY, PASS, CHUNKS = (2, 16), 256, 8
 _SEGMENT = 4096
 
 
@@ -226,11 +230,27 @@ def passes(a: np.ndarray, b: np.ndarray, least: int, most: int) -> np.ndarray:
 
 
 def _met(least: int, most: int, longest: int):
-    """Sorted ``list, number, component, print`` to groups ``group, chunk, long, numbers`` of classes that are not of one component."""
-    names = ["group", "chunk", "long", "numbers"]
+    """Sorted ``list, number, component, print`` to groups ``group, chunk, long, component, numbers`` of classes that are not of one component.
+
+    A group's component is the least of its classes.  Rows of chunk -1 have no classes: ``group``
+    and ``component`` are then components that meet, a spanning forest for all groups of a task.
+    """
+    names, kinds = ["group", "chunk", "long", "component", "numbers"], (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+    meeting, root = [], {}  # the components of each group found; links of the forest
+
+    def top(c):
+        while (up := root.setdefault(c, c)) != c:
+            root[c] = c = root[up]
+        return c
 
     def rows(found):
-        return pa.record_batch([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64())))], names)
+        for first, *others in meeting:
+            for c in others:
+                if (a := top(first)) != (b := top(c)):
+                    root[b] = a
+                    found.append((c, -1, False, first, None))
+        meeting.clear()
+        return pa.record_batch([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names)
 
     def whole(key, number, component, prints):
         """Groups of whole lists."""
@@ -250,14 +270,19 @@ def _met(least: int, most: int, longest: int):
         size = np.diff(np.append(start, len(root)))
         several = np.maximum.reduceat(component, start) != np.minimum.reduceat(component, start)
         total = np.add.reduceat(_mixed(number.view(np.uint64)), start).view(np.int64)  # equal groups of different lists are one
-        return [(t, 0, False, number[s : s + n].tolist()) for s, n, t in zip(start[several].tolist(), size[several].tolist(), total[several].tolist(), strict=True)]
+        found = []
+        for s, n, t in zip(start[several].tolist(), size[several].tolist(), total[several].tolist(), strict=True):
+            meeting.append(np.unique(component[s : s + n]).tolist())
+            found.append((t, 0, False, meeting[-1][0], number[s : s + n].tolist()))
+        return found
 
     def long(key, numbers, components):
         """Chunks of a long list, each with its first class."""
         if min(components) == max(components):
             return []
+        meeting.append(sorted(set(components)))
         step = longest - 1
-        return [(hash(("long", key)), c, True, [numbers[0], *numbers[1 + c * step : 1 + (c + 1) * step]]) for c in range(-(-(len(numbers) - 1) // step))]
+        return [(hash(("long", key)), c, True, meeting[-1][0], [numbers[0], *numbers[1 + c * step : 1 + (c + 1) * step]]) for c in range(-(-(len(numbers) - 1) // step))]
 
     def run(batches):
         held, many = None, None  # rows of the last list so far; it, as key, numbers and components, when it is long
@@ -296,33 +321,29 @@ def _met(least: int, most: int, longest: int):
     return run
 
 
-def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets of shingles, as pairs of places."""
-    sizes = np.array([len(s) for s in sets])
+def similar_links(sets: list[np.ndarray], similarity: float, own: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links among sets of shingles, as pairs of places, that connect what all links and the components ``own`` connect."""
+    sizes, own = np.array([len(s) for s in sets]), np.arange(len(sets)) if own is None else np.array(own)
     which = np.unique(np.concatenate(sets), return_inverse=True)[1]
     edges = np.concatenate(([0], np.cumsum(sizes)))
     inside = np.zeros(which.max() + 1, np.int64)
-    left, queue, found = np.arange(1, len(sets)), [0], []
-    flat, starts = which[edges[1] :], edges[1:-1] - edges[1]
+    left, queue, found = np.arange(len(sets)), [], []
+    flat, starts = which, edges[:-1]
     while len(left):
         if not queue:
-            queue.append(int(left[0]))
-            keep = np.arange(1, len(left))
+            take = own[left] == own[left[0]]
         else:
             at = queue.pop()
-            own = which[edges[at] : edges[at + 1]]
-            inside[own] = 1
+            mine = which[edges[at] : edges[at + 1]]
+            inside[mine] = 1
             both = np.add.reduceat(inside[flat], starts)
-            inside[own] = 0
+            inside[mine] = 0
             near = both >= similarity * (sizes[left] + sizes[at] - both) - 1e-9
             found += [(at, t) for t in left[near].tolist()]
-            queue += left[near].tolist()
-            keep = np.flatnonzero(~near)
-        if len(keep) < len(left):
-            lengths = sizes[left]
-            stays = np.zeros(len(left), bool)
-            stays[keep] = True
-            flat, left = flat[np.repeat(stays, lengths)], left[keep]
+            take = np.isin(own[left], own[left[near]]) if near.any() else near
+        queue += left[take].tolist()
+        if take.any():
+            flat, left = flat[np.repeat(~take, sizes[left])], left[~take]
             starts = np.concatenate(([0], np.cumsum(sizes[left])[:-1])).astype(np.int64)
     return found
 
@@ -343,7 +364,7 @@ def _verified(similarity: float):
                     root[c] = c = root[root[c]]
                 return c
 
-            for x, y in similar_links(sets, similarity):
+            for x, y in similar_links(sets, similarity, own):
                 if (a := top(own[x])) != (b := top(own[y])):
                     root[b] = a
                     found.append((numbers[x], numbers[y]))
@@ -420,12 +441,23 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         met = work.table(index.repartition("task").sortWithinPartitions("task").mapInArrow(_lists, "list long, number long"), f"met{k}")
         short = component(prints.select("number", F.substring("print", 1, TALLIED).alias("print")))
         met = met.join(short, "number").select("list", "number", "component", "print").repartition("list").sortWithinPartitions("list", "number")
-        kept = met.mapInArrow(_met(least, most, longest), "group long, chunk int, long boolean, numbers array<long>")
-        groups = work.table(kept.groupBy("group", "chunk", "long").agg(F.first("numbers").alias("numbers")), f"groups{k}")
+        kept = met.mapInArrow(_met(least, most, longest), "group long, chunk int, long boolean, component long, numbers array<long>")
+        groups = work.table(kept.groupBy("group", "chunk", "long", "component").agg(F.first("numbers").alias("numbers")), f"groups{k}")
         work.drop(f"met{k}")
         if groups.isEmpty():
             continue
-        listed = groups.select("group", "chunk", "long", F.explode("numbers").alias("number"))
+        joined = groups.filter("chunk < 0").select(F.col("component").alias("a"), F.col("group").alias("b"))
+        clusters = connected_components(joined, Workspace(df.sparkSession, "near")).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+        inside = work.table(component(prints.select("number")).join(clusters, "component").select("cluster", "number"), f"members{k}")
+        sized = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("head")).withColumn("chunks", F.ceil(F.col("n") / longest).cast("int"))
+        chunk = F.pmod(F.xxhash64("number"), F.col("chunks")).cast("int")
+        chunk = F.explode(F.when(F.col("number") == F.col("head"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk)))
+        listed = inside.join(sized.filter(F.col("chunks") <= CHUNKS), "cluster").select(F.col("cluster").alias("group"), chunk.alias("chunk"), (F.col("chunks") > 1).alias("long"), "number")
+        listed = work.table(listed, f"listed{k}")
+        large = clusters.join(sized.filter(F.col("chunks") > CHUNKS), "cluster").select("component")
+        if not large.isEmpty():
+            alone = groups.filter("chunk >= 0").join(large, "component", "left_semi")
+            listed = listed.unionAll(alone.select("group", "chunk", "long", F.explode("numbers").alias("number")))
         wanted = named.join(listed.select("number").distinct(), "number")
         texts = known.join(wanted.select(F.col("first").alias("id")).hint("shuffle_hash"), "id", "left_semi").select("text")
         sets = texts.mapInArrow(members, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
@@ -446,7 +478,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rest = rest.select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "number")
                 links = links.unionAll(work.table(verify(whole.unionAll(rest), sets, "group", "chunk", "block"), f"more_links{k}"))
                 parts = connected_components(links, Workspace(df.sparkSession, "near"))
-        work.drop(f"sets{k}")
+        work.drop(f"sets{k}", f"groups{k}", f"members{k}", f"listed{k}")
     grouped = component(named)
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     found = work.table(grouped.join(smallest, "component").select("fp", "component_id"), "class_ids")

@@ -53,6 +53,42 @@ def test_a_large_group_is_one_component_and_its_neighbours_are_not(spark, longes
     assert near_copies.near_components(docs.limit(0)).count() == 0
 
 
+def test_texts_that_are_not_alike_enough_are_verified_once_a_pass(spark, tmp_path, monkeypatch):
+    draw, rows = random.Random(7), []
+    for k in range(120):  # a group whose texts share 0.6 to 0.8 of their shingles, and pairs of which some share more
+        words = [f"w{j}" for j in range(200)]
+        for at in draw.sample(range(200), 3):
+            words[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(words)))
+    sets = [_shingles(t) for _, t in rows]
+    want = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = [low if w == high else w for w in want]
+    assert 20 < len(set(want)) < 120
+    verified, counts = near_copies._verified, str(tmp_path)
+
+    def counting(similarity):
+        run = verified(similarity)
+
+        def counted(batches):
+            import uuid
+
+            seen = []
+            yield from run(b for b in batches if seen.append(len(b)) is None)
+            with open(f"{counts}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(sum(seen)))
+
+        return counted
+
+    monkeypatch.setattr(near_copies, "_verified", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_components(docs).collect()} == dict(enumerate(want))
+    assert 120 < sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 4 * 120
+
+
 def test_bits_agree_as_often_as_the_similarity_says():
     draw = np.random.default_rng(1)
     for shared, own in ((800, 100), (90, 10), (8, 1), (4, 4)):
